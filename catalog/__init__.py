@@ -6,7 +6,7 @@ from importlib import import_module
 
 from catalog.base import ORACLES, QUERIES
 
-TOPICS = ["profile_queries", "check_queries"]
+TOPICS = ["profile_queries", "check_queries", "drift_queries", "clean_queries", "outlier_queries"]
 
 
 def _load() -> None:

@@ -9,7 +9,6 @@ from catalog.base import query, table
 from catalog.profile_queries import corr_sql, r6
 from catalog.sqltext import (
     EVENTS_NUMERIC,
-    LINEITEM_NUMERIC,
     fences,
     named,
     union_all,
@@ -274,7 +273,7 @@ ISSUES_SQL = f"""
 """
 ISSUE_COLUMNS = [
     *(c for c in fx.GAPS if c not in ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_linenumber")),
-    "l_extendedprice * l_extendedprice * l_extendedprice as l_price",
+    "l_quantity * l_quantity * l_quantity * l_quantity as l_price",
 ]
 ISSUE_INPUT_SQL = fx.sql_from(ISSUE_COLUMNS, "lineitem")
 
@@ -435,7 +434,7 @@ def _proxy_sql(target: str, c: str) -> str:
         )
     return (
         f"(select '{target}' as target, '{c}' as proxy, concat('Extremely high mathematical correlation (',"
-        f" printf('%.2f', abs(corr({target}, {c}))), ') with target. Likely a duplicate or data leakage.')"
+        f" printf('%.2f', abs(corr({target}, {c}))), ') with target. Likely a duplicate or data leakage.') as reason"
         f" from t having abs(corr({target}, {c})) > 0.95)"
     )
 
