@@ -6,7 +6,15 @@ from importlib import import_module
 
 from catalog.base import ORACLES, QUERIES
 
-TOPICS = ["profile_queries", "check_queries", "drift_queries", "clean_queries", "outlier_queries"]
+TOPICS = [
+    "profile_queries",
+    "check_queries",
+    "drift_queries",
+    "clean_queries",
+    "outlier_queries",
+    "leakage_queries",
+    "governance_queries",
+]
 
 
 def _load() -> None:
