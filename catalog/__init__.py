@@ -14,6 +14,7 @@ TOPICS = [
     "outlier_queries",
     "leakage_queries",
     "governance_queries",
+    "model_queries",
 ]
 
 
