@@ -77,14 +77,23 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     if not floats:
         return df
     return df.select(
-        *[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns]
+        *[
+            F.nanvl(col(c), F.lit(None).cast(df.schema[c].dataType)).alias(c) if c in floats else col(c)
+            for c in df.columns
+        ]
     )
 
 
 def as_double(name: str) -> Column:
     """Numeric column as double with NaN read as missing."""
-    value = col(name).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+
+
+def double_of(df: DataFrame, name: str) -> Column:
+    """As ``as_double``, without the NaN test for columns that cannot hold one."""
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return as_double(name)
+    return col(name).cast("double")
 
 
 def chunks(items: list, size: int) -> list[list]:

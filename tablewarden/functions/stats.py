@@ -24,6 +24,32 @@ def pair_correlation(a: Column, b: Column, complete: bool = False) -> Column:
     return F.try_divide(F.covar_samp(left, right), F.stddev_samp(left) * F.stddev_samp(right))
 
 
+SPREAD_TOLERANCE = 1e-12
+
+
+def pair_sums(x: Column, y: Column, key: str, aggs: list[Column]) -> list[Column]:
+    """Append the six sums over rows where both are present; returns them as columns."""
+    both = x.isNotNull() & y.isNotNull()
+    sums = {
+        "n": F.count(F.when(both, F.lit(1))),
+        "x": F.sum(F.when(both, x)),
+        "y": F.sum(F.when(both, y)),
+        "xx": F.sum(F.when(both, x * x)),
+        "yy": F.sum(F.when(both, y * y)),
+        "xy": F.sum(x * y),
+    }
+    aggs += [v.alias(f"{k}_{key}") for k, v in sums.items()]
+    return [F.col(f"{k}_{key}") for k in sums]
+
+
+def correlation_from_sums(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    """Pearson correlation from sums of roughly centred values; NULL if a side is constant."""
+    left = xx - F.try_divide(x * x, n)
+    right = yy - F.try_divide(y * y, n)
+    varies = (left > SPREAD_TOLERANCE * xx) & (right > SPREAD_TOLERANCE * yy)
+    return F.when(varies, F.try_divide(xy - F.try_divide(x * y, n), F.sqrt(left * right)))
+
+
 def clamp(value: Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 

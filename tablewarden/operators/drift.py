@@ -148,7 +148,7 @@ def kl_divergence(
     spark = reference.sparkSession
     slots = [(c, b, e[b + 1] - e[b]) for c, e in edges.items() for b in range(bins)]
     frame = spark.createDataFrame(slots, "column string, bin int, width double")
-    counted = _side_counts(binned_counts(both, edges, ("side",)))
+    counted = _side_counts(binned_counts(both, edges, ("side",), even=True))
     totals = counted.groupBy("column").agg(F.sum("ref").alias("ref_total"), F.sum("cur").alias("cur_total"))
 
     def density(n: str, total: str) -> Column:

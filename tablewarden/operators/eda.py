@@ -12,12 +12,13 @@ from tablewarden.functions.columns import (
     categorical_columns,
     chunks,
     col,
+    double_of,
     normalize_missing,
     numeric_columns,
 )
-from tablewarden.functions.stats import pair_correlation, ratio
+from tablewarden.functions.stats import correlation_from_sums, pair_sums, ratio
 from tablewarden.operators.quantiles import iqr_fences
-from tablewarden.operators.values import distinct_estimates, missing_counts, value_counts
+from tablewarden.operators.values import distinct_estimates, value_counts
 
 PAIRS_PER_PASS = 300
 
@@ -28,7 +29,7 @@ def ranges_of(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float
     for part in chunks(columns, 200):
         aggs = []
         for i, c in enumerate(part):
-            v = as_double(c)
+            v = double_of(df, c)
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         row = df.agg(*aggs).first()
         for i, c in enumerate(part):
@@ -48,11 +49,26 @@ def bin_index(value: Column, edges: list[float]) -> Column:
     return F.when((value >= edges[0]) & (value <= edges[-1]), inner)
 
 
-def binned_counts(df: DataFrame, edges: dict[str, list[float]], keep: tuple[str, ...] = ()) -> DataFrame:
+def even_bin_index(value: Column, edges: list[float]) -> Column:
+    """``bin_index`` for equal widths: a division finds the bin up to rounding and the edges
+    beside it settle the rest, so the expression does not grow with the number of bins."""
+    bins = len(edges) - 1
+    width = (edges[-1] - edges[0]) / bins
+    marks = F.array(*[F.lit(e) for e in edges])
+    guess = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((value - edges[0]) / width).cast("int")))
+    above = (guess < bins - 1) & (value >= F.get(marks, guess + 1))
+    settled = guess - (value < F.get(marks, guess)).cast("int") + above.cast("int")
+    return F.when((value >= edges[0]) & (value <= edges[-1]), settled)
+
+
+def binned_counts(
+    df: DataFrame, edges: dict[str, list[float]], keep: tuple[str, ...] = (), even: bool = False
+) -> DataFrame:
     """``(*keep, column, bin, n)`` of values inside the edges; one scan, and the exchange
     carries at most columns x bins rows per task."""
     names = list(edges)
-    bins = df.select(*keep, *[bin_index(as_double(c), edges[c]).alias(c) for c in names])
+    index = even_bin_index if even else bin_index
+    bins = df.select(*keep, *[index(double_of(df, c), edges[c]).alias(c) for c in names])
     return (
         bins.unpivot([F.col(k) for k in keep], [col(c) for c in names], "column", "bin")
         .where("bin is not null")
@@ -74,7 +90,7 @@ def histogram(df: DataFrame, bins: int = 10, columns: list[str] | None = None) -
     frame = spark.createDataFrame(slots, schema)
     if not edges:
         return frame.select("*", F.lit("").alias("label"), F.lit(0).cast("bigint").alias("count"))
-    counted = binned_counts(df, edges)
+    counted = binned_counts(df, edges, even=True)
     return frame.join(counted, ["column", "bin"], "left").select(
         "column",
         "bin",
@@ -127,36 +143,48 @@ def top_value_counts(df: DataFrame, k: int = 10, max_distinct: int = 50, max_sha
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``i, j, left, right, corr`` for i < j in schema order; NULL if a side is constant.
 
-    All pairs come from plain aggregates, so each pass moves one row per task.
+    One pass finds each column's mean and spread; the next adds up products of the centred
+    values. A pair of complete columns costs one sum, a pair with gaps six over its common
+    rows. Passes move one row per task.
     """
     df = normalize_missing(df)
+    spark = df.sparkSession
     names = numeric_columns(df) if columns is None else columns
-    _, missing = missing_counts(df, names)
-    data = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(names)])
+    schema = "i int, j int, left string, right string, corr double"
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "i int, j int, left string, right string, corr double"
-        )
+        return spark.createDataFrame([], schema)
+    facts = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(names):
+        v = double_of(df, c)
+        facts += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_pop(v).alias(f"s{i}")]
+    seen = df.agg(*facts).first()
+    rows = seen["rows"]
+    centred = df.select(
+        *[(double_of(df, c) - F.lit(seen[f"m{i}"] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)]
+    )
     parts = []
     for part in chunks(pairs, PAIRS_PER_PASS):
-        aggs = [
-            pair_correlation(
-                F.col(f"v{i}"), F.col(f"v{j}"), missing[names[i]] == 0 and missing[names[j]] == 0
-            ).alias(f"r{i}_{j}")
-            for i, j in part
-        ]
-        rows = F.array(
+        aggs, values = [], []
+        for i, j in part:
+            x, y = F.col(f"v{i}"), F.col(f"v{j}")
+            if seen[f"n{i}"] == rows and seen[f"n{j}"] == rows:
+                aggs.append(F.sum(x * y).alias(f"p{i}_{j}"))
+                spread = rows * (seen[f"s{i}"] or 0.0) * (seen[f"s{j}"] or 0.0)
+                values.append(F.try_divide(F.col(f"p{i}_{j}"), F.lit(float(spread))))
+            else:
+                names_of = pair_sums(x, y, f"{i}_{j}", aggs)
+                values.append(correlation_from_sums(*names_of))
+        out = F.array(
             *[
                 F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"),
-                    F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"),
-                    F.col(f"r{i}_{j}").alias("corr"),
+                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("left"),
+                    F.lit(names[j]).alias("right"), r.alias("corr"),
                 )
-                for i, j in part
+                for (i, j), r in zip(part, values)
             ]
         )
-        parts.append(data.agg(*aggs).select(F.inline(rows)))
+        parts.append(centred.agg(*aggs).select(F.inline(out)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.functions.columns import as_double, chunks
+from tablewarden.functions.columns import chunks, double_of
 
 EXPRESSIONS_PER_PASS = 240
 
@@ -52,7 +52,7 @@ def exact_quantiles(
     """
     if not columns:
         return {}
-    data = df.select(*[as_double(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    data = df.select(*[double_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     slots = _sketch_brackets(data, len(columns), probs, accuracy)
     open_slots = [s for s in slots if s.result is None]
     rounds = 0
@@ -62,6 +62,9 @@ def exact_quantiles(
             if s.placed() and s.low == s.high:
                 s.result = s.low
         open_slots = [s for s in open_slots if s.result is None]
+        large = [s for s in open_slots if s.placed() and s.between > gather_limit]
+        if large:
+            _count_between(data, large)
         wide = [s for s in open_slots if not s.placed() or s.between > gather_limit]
         if not wide:
             break
@@ -114,18 +117,27 @@ def _sketch_brackets(data: DataFrame, width: int, probs: list[float], accuracy:
 
 
 def _count_brackets(data: DataFrame, slots: list[_Slot]) -> None:
-    for part in chunks(slots, EXPRESSIONS_PER_PASS // 3):
+    for part in chunks(slots, EXPRESSIONS_PER_PASS // 2):
         aggs = []
         for k, s in enumerate(part):
             v = F.col(f"v{s.column}")
-            aggs += [
-                F.count_if(v < s.low).alias(f"b{k}"),
-                F.count_if((v >= s.low) & (v <= s.high)).alias(f"i{k}"),
-                F.count_if((v > s.low) & (v < s.high)).alias(f"o{k}"),
-            ]
+            aggs += [F.count_if(v < s.low).alias(f"b{k}"), F.count_if(v <= s.high).alias(f"u{k}")]
+        row = data.agg(*aggs).first()
+        for k, s in enumerate(part):
+            s.below, s.inside = row[f"b{k}"], row[f"u{k}"] - row[f"b{k}"]
+            s.between = s.inside
+
+
+def _count_between(data: DataFrame, slots: list[_Slot]) -> None:
+    """Leave the two ends of a bracket out of its size: each is one value however often it occurs."""
+    for part in chunks(slots, EXPRESSIONS_PER_PASS):
+        aggs = [
+            F.count_if((F.col(f"v{s.column}") > s.low) & (F.col(f"v{s.column}") < s.high)).alias(f"o{k}")
+            for k, s in enumerate(part)
+        ]
         row = data.agg(*aggs).first()
         for k, s in enumerate(part):
-            s.below, s.inside, s.between = row[f"b{k}"], row[f"i{k}"], row[f"o{k}"]
+            s.between = row[f"o{k}"]
 
 
 def _narrow(data: DataFrame, slots: list[_Slot], accuracy: int) -> None:
