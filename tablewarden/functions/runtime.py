@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +38,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+PARALLEL_JOBS = 4
+
+
+def together(*calls: Callable) -> list:
+    """Results of independent calls whose Spark jobs may run side by side."""
+    if len(calls) < 2:
+        return [c() for c in calls]
+    with ThreadPoolExecutor(min(PARALLEL_JOBS, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
+
+
+def spread_out(stored: DataFrame) -> DataFrame:
+    """Give stored data at least one partition per core, for work that is heavy per row."""
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= cores else stored.repartition(cores)
+
+
 def task_buckets(spark: SparkSession) -> int:
     """Number of value ranges that an ordered computation is split into."""
     return max(8, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))

@@ -19,6 +19,7 @@ from tablewarden.functions.columns import (
 )
 from tablewarden.functions.patterns import PARSABLE_NUMBER, PII_PATTERNS
 from tablewarden.functions.stats import percent, ratio
+from tablewarden.functions.runtime import together
 from tablewarden.operators.eda import correlation_pairs
 from tablewarden.operators.identifiers import has_identifier_name
 from tablewarden.operators.profile import missing_values, one_row_per_column
@@ -223,17 +224,16 @@ def detect_issues(
 ) -> DataFrame:
     """All checks as one issues table without repeated findings."""
     df = normalize_missing(df)
-    parts = [
-        as_issues(missing_values(df), "missing_values"),
-        as_issues(uniqueness(df), "uniqueness_violation"),
-        as_issues(high_cardinality(df), "high_cardinality"),
-        as_issues(pii(df, pii_threshold), "pii_detected"),
-        as_issues(class_imbalance(df, target), "class_imbalance"),
-        as_issues(high_correlation(df), "high_correlation"),
-        as_issues(iqr_outliers(df), "outliers"),
-    ]
-    if rules:
-        parts.append(as_issues(rule_violations(df, rules), "custom_rule_violation"))
+    parts = together(
+        lambda: as_issues(iqr_outliers(df), "outliers"),
+        lambda: as_issues(high_correlation(df), "high_correlation"),
+        lambda: as_issues(high_cardinality(df), "high_cardinality"),
+        lambda: as_issues(uniqueness(df), "uniqueness_violation"),
+        lambda: as_issues(missing_values(df), "missing_values"),
+        lambda: as_issues(pii(df, pii_threshold), "pii_detected"),
+        lambda: as_issues(class_imbalance(df, target), "class_imbalance"),
+        lambda: as_issues(rule_violations(df, rules or []), "custom_rule_violation"),
+    )
     return reduce(DataFrame.unionByName, parts).dropDuplicates(
         ["type", "column", "pii_type", "rule_type", "expected"]
     )

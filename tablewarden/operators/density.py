@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.functions.runtime import materialize, task_buckets
+from tablewarden.functions.runtime import materialize, spread_out, task_buckets
 
 QUERY_BLOCK = 100_000
 PAIR_BLOCK = 1024
@@ -114,11 +114,7 @@ def noise_nd(points: DataFrame, min_samples: int, eps: float) -> DataFrame:
     size; a block's neighbour counts are added up per task and no pairs are shuffled.
     """
     names = points.columns
-    spark = points.sparkSession
-    parallel = spark.sparkContext.defaultParallelism
-    if points.rdd.getNumPartitions() < parallel:
-        points = points.repartition(parallel)
-    points = materialize(points)
+    points = spread_out(materialize(points))
     side = eps / math.sqrt(len(names))
     cell = [F.floor(F.col(c) / side).alias(f"cell_{c}") for c in names]
     keys = [f"cell_{c}" for c in names]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, normalize_missing, numeric_columns
+from tablewarden.functions.runtime import together
 from tablewarden.functions.stats import clamp, ratio
 from tablewarden.operators.eda import binned_counts, equal_width_edges, ranges_of
 from tablewarden.operators.ordered import melt_with_range, range_edges, running_sums
@@ -79,8 +80,11 @@ def common_numeric_columns(reference: DataFrame, current: DataFrame) -> list[str
     if not shared:
         return []
     present = []
-    for df in (reference, current):
-        rows, missing = missing_counts(normalize_missing(df), shared)
+    counted = together(
+        lambda: missing_counts(normalize_missing(reference), shared),
+        lambda: missing_counts(normalize_missing(current), shared),
+    )
+    for rows, missing in counted:
         present.append({c for c in shared if missing[c] < rows})
     return [c for c in shared if c in present[0] and c in present[1]]
 
@@ -113,13 +117,10 @@ def psi_quantile_bins(
     listed = spark.createDataFrame([(c,) for c in names], "column string")
     if not usable:
         return listed.select("column", F.lit(0.0).alias("psi"))
-    sizes = []
-    for df in (reference, current):
-        rows, missing = missing_counts(normalize_missing(df), names)
-        sizes.append({c: rows - missing[c] for c in names})
-    slots = [(c, b, sizes[0][c], sizes[1][c]) for c, e in usable.items() for b in range(len(e) - 1)]
-    frame = spark.createDataFrame(slots, "column string, bin int, ref_total bigint, cur_total bigint")
-    counted = _side_counts(binned_counts(both_sides(reference, current, names), usable, ("side",)))
+    slots = [(c, b) for c, e in usable.items() for b in range(len(e) - 1)]
+    counted = _side_counts(binned_counts(both_sides(reference, current, names), usable, ("side",), outside=True))
+    totals = counted.groupBy("column").agg(F.sum("ref").alias("ref_total"), F.sum("cur").alias("cur_total"))
+    frame = spark.createDataFrame(slots, "column string, bin int").join(totals, "column")
 
     def share(n: str, total: str) -> Column:
         return F.greatest(ratio(F.coalesce(n, F.lit(0)), F.col(total)), F.lit(SHARE_FLOOR))
@@ -238,10 +239,13 @@ def drift_report(
     names = common_numeric_columns(reference, current)
     if not names:
         return reference.sparkSession.createDataFrame([], DRIFT_SCHEMA)
-    distances = distribution_distances(reference, current, names)
+    psi, kl, distances = together(
+        lambda: psi_quantile_bins(reference, current, names),
+        lambda: kl_divergence(reference, current, names),
+        lambda: distribution_distances(reference, current, names),
+    )
     metrics = (
-        psi_quantile_bins(reference, current, names)
-        .join(kl_divergence(reference, current, names), "column")
+        psi.join(kl, "column")
         .join(distances, "column")
         .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("ref_count"), F.col("cur_count")))
     )

@@ -17,7 +17,7 @@ from tablewarden.functions.columns import (
     numeric_columns,
 )
 from tablewarden.functions.stats import correlation_from_sums, pair_sums, ratio
-from tablewarden.operators.quantiles import iqr_fences
+from tablewarden.operators.quantiles import exact_quantiles, iqr_fences
 from tablewarden.operators.values import distinct_estimates, value_counts
 
 PAIRS_PER_PASS = 300
@@ -62,13 +62,22 @@ def even_bin_index(value: Column, edges: list[float]) -> Column:
 
 
 def binned_counts(
-    df: DataFrame, edges: dict[str, list[float]], keep: tuple[str, ...] = (), even: bool = False
+    df: DataFrame,
+    edges: dict[str, list[float]],
+    keep: tuple[str, ...] = (),
+    even: bool = False,
+    outside: bool = False,
 ) -> DataFrame:
     """``(*keep, column, bin, n)`` of values inside the edges; one scan, and the exchange
-    carries at most columns x bins rows per task."""
+    carries at most columns x bins rows per task. ``outside`` counts the others as bin -1."""
     names = list(edges)
     index = even_bin_index if even else bin_index
-    bins = df.select(*keep, *[index(double_of(df, c), edges[c]).alias(c) for c in names])
+    cells = {c: index(double_of(df, c), edges[c]) for c in names}
+    if outside:
+        cells = {
+            c: F.when(double_of(df, c).isNotNull(), F.coalesce(b, F.lit(-1))) for c, b in cells.items()
+        }
+    bins = df.select(*keep, *[b.alias(c) for c, b in cells.items()])
     return (
         bins.unpivot([F.col(k) for k in keep], [col(c) for c in names], "column", "bin")
         .where("bin is not null")
@@ -210,12 +219,11 @@ def boxplot(df: DataFrame) -> DataFrame:
     """``column, min, q1, median, q3, max, lower_bound, upper_bound`` of numeric columns."""
     df = normalize_missing(df)
     names = numeric_columns(df)
-    fences = iqr_fences(df, names)
-    ranges = ranges_of(df, names)
-    rows = [
-        (c, ranges[c][0], f["q1"], f["median"], f["q3"], ranges[c][1], f["lower"], f["upper"])
-        for c, f in fences.items()
-    ]
+    rows = []
+    for c, (low, q1, q2, q3, high) in exact_quantiles(df, names, [0.0, 0.25, 0.5, 0.75, 1.0]).items():
+        if low is not None:
+            spread = 1.5 * (q3 - q1)
+            rows.append((c, low, q1, q2, q3, high, q1 - spread, q3 + spread))
     return df.sparkSession.createDataFrame(
         rows,
         "column string, min double, q1 double, median double, q3 double, max double,"

@@ -20,7 +20,7 @@ from tablewarden.functions.columns import (
     normalize_missing,
     numeric_columns,
 )
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, spread_out, together
 from tablewarden.operators.checks import ISSUE_FIELDS
 from tablewarden.operators.cleaning import remediate
 from tablewarden.operators.governance import (
@@ -98,7 +98,7 @@ def linear_score(df: DataFrame, target: str, row_key: str | None = None) -> Line
     if not parts:
         return None
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    rows = materialize(rows)
+    rows = spread_out(materialize(rows))
     total = rows.count()
     if is_class:
         labels = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
@@ -109,13 +109,13 @@ def linear_score(df: DataFrame, target: str, row_key: str | None = None) -> Line
     else:
         rows = rows.withColumn("label", F.col("y"))
         model = LinearRegression(regParam=1.0 / total)
-    first, second = [], []
-    for k in range(FOLDS):
+
+    def fold(k: int) -> tuple[float, float]:
         fitted = Pipeline(stages=[*stages, model]).fit(rows.where(F.col("fold") != k))
         tested = fitted.transform(rows.where(F.col("fold") == k)).select("label", "prediction")
-        a, b = _class_fold(tested) if is_class else _value_fold(tested)
-        first.append(a)
-        second.append(b)
+        return _class_fold(tested) if is_class else _value_fold(tested)
+
+    first, second = zip(*together(*[lambda k=k: fold(k) for k in range(FOLDS)]))
     metric = "F1 Score" if is_class else "RMSE"
     return LinearScore(float(np.mean(first)), float(np.std(first)), metric, float(np.mean(second)))
 
@@ -187,10 +187,12 @@ def evaluate_remediations(
     found = issues.collect()  # bounded by the schema and the rules
     if not found:
         return judge_remediations(spark.createDataFrame([], _paired_schema(issues)))
+    fixes = [issue.asDict() for issue in found]
+    measured = together(
+        *[lambda fix=fix: baseline_metrics(remediate(df, fix), target, row_key).first().asDict() for fix in fixes]
+    )
     rows = []
-    for issue in found:
-        row = issue.asDict()
-        after = baseline_metrics(remediate(df, row), target, row_key).first().asDict()
+    for row, after in zip(fixes, measured):
         rows.append(
             (*[row[f] for f in ISSUE_FIELDS], base["problem_type"] or after["problem_type"] or "regression",
              *[base[m] for m in [*METRICS, "error"]], *[after[m] for m in [*METRICS, "error"]])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorSlicer
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, together
 from tablewarden.operators.models import (
     SEED,
     Assembled,
@@ -32,7 +30,6 @@ from tablewarden.operators.values import distinct_estimates
 TREES = 50
 REPEATS = 5
 GRID = 100
-PARALLEL_FITS = 4
 TOO_SMALL = "Dataset too small or lacks numeric features for causal analysis."
 IMPACT_SCHEMA = (
     "feature string, importance_score double, performance_impact double, marginal_effect_strength double,"
@@ -71,8 +68,7 @@ def ablation(ready: Assembled, train: DataFrame, test: DataFrame) -> tuple[dict[
 
         return _score(ready, forest(ready.problem, TREES).fit(kept(train)).transform(kept(test)))
 
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        scores = list(pool.map(without, range(len(names))))
+    scores = together(*[lambda i=i: without(i) for i in range(len(names))])
     return {c: max(0.0, base - s) for c, s in zip(names, scores)}, base, model
 
 

@@ -23,7 +23,7 @@ from tablewarden.functions.columns import (
     numeric_columns,
     plain_columns,
 )
-from tablewarden.functions.runtime import ensure_checkpoint_dir, materialize
+from tablewarden.functions.runtime import ensure_checkpoint_dir, materialize, spread_out, together
 from tablewarden.functions.stats import clamp
 from tablewarden.operators.governance import stability_score
 from tablewarden.operators.identifiers import classify_identifiers
@@ -141,7 +141,8 @@ def assemble(
     else:
         label = as_double(target)
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(coded.withColumn("label", label))
-    return Assembled(materialize(ready.select("features", "label", "fold")), features, problem, classes)
+    stored = materialize(ready.select("features", "label", "fold"))
+    return Assembled(spread_out(stored), features, problem, classes)
 
 
 def forest(problem: str, trees: int, depth: int = 5):
@@ -193,16 +194,21 @@ def baseline_metrics(df: DataFrame, target: str, row_key: str | None = None) ->
         return failed(str(e))
     is_class = ready.problem == "classification"
     score = class_scores if is_class else value_scores
-    rows = []
-    for k in range(FOLDS):
+    filled = ready.data.select("fold").distinct().count()
+    if filled < FOLDS:
+        return failed(BASELINE_ERROR)
+
+    def fold(k: int):
         train, test = ready.data.where(F.col("fold") != k), ready.data.where(F.col("fold") == k)
-        if not train.take(1) or not test.take(1):
-            return failed(BASELINE_ERROR)
-        rows += score(forest(ready.problem, 10, 3).fit(train).transform(test), []).collect()
+        return score(forest(ready.problem, 10, 3).fit(train).transform(test), []).first()
+
+    *rows, gaps, copies = together(
+        *[lambda k=k: fold(k) for k in range(FOLDS)],
+        lambda: missingness(df).first()[0],
+        lambda: duplicate_ratio(df).first()[0],
+    )
     mean = {m: float(np.mean([r[m] for r in rows])) for m in rows[0].asDict()}
     spread = float(np.std([r["accuracy" if is_class else "r2"] for r in rows]))
-    gaps = missingness(df).first()[0]
-    copies = duplicate_ratio(df).first()[0]
     fields = ["accuracy", "log_loss", "r2", "rmse", "mae"]
     row = (ready.problem, *[mean.get(m) for m in fields], gaps, copies, spread)
     schema = (

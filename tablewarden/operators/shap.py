@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import col, normalize_missing, numeric_columns
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, spread_out, together
 from tablewarden.operators.models import (
     SEED,
     Leaves,
@@ -78,8 +78,8 @@ def shap_rows(boxes: list[Leaves], tables: list[np.ndarray], rows: np.ndarray) -
 def shap_values(df: DataFrame, target: str, problem: str | None = None) -> tuple[DataFrame, list[str], float]:
     """SHAP values of a forest of 50 trees for every complete row.
 
-    Returns ``features, prediction_input…`` as a stored frame with ``shap`` (array in feature
-    order), the feature names and the expected value. Class targets explain class index 1.
+    Returns ``features, label, prediction, shap`` (an array in feature order) as a lazy frame,
+    the feature names and the expected value. Class targets explain class index 1.
     """
     df = normalize_missing(df).where(col(target).isNotNull())
     names = numeric_columns(df, [target])
@@ -105,7 +105,7 @@ def shap_values(df: DataFrame, target: str, problem: str | None = None) -> tuple
         *([vector_to_array("probability").alias("probability")] if is_class else []),
         explain(vector_to_array("features")).alias("shap"),
     )
-    return materialize(explained), names, expected_value(boxes, which)
+    return explained, names, expected_value(boxes, which)
 
 
 def choose_k(vectors: DataFrame, max_k: int = 4) -> int:
@@ -113,16 +113,17 @@ def choose_k(vectors: DataFrame, max_k: int = 4) -> int:
     few = len(vectors.take(20))
     if few < 20:
         return 2
-    best_k, best = 3, -1.0
     judge = ClusteringEvaluator(featuresCol="vector", predictionCol="cluster")
-    for k in range(2, max_k + 1):
+
+    def silhouette(k: int) -> float:
         model = _clusters(k).fit(vectors)
-        if sum(1 for n in model.summary.clusterSizes if n) < 2:
-            continue
-        score = judge.evaluate(model.transform(vectors))
-        if score > best:
-            best_k, best = k, score
-    return best_k
+        one = sum(1 for n in model.summary.clusterSizes if n) < 2
+        return -1.0 if one else judge.evaluate(model.transform(vectors))
+
+    sizes = list(range(2, max_k + 1))
+    scores = together(*[lambda k=k: silhouette(k) for k in sizes])
+    best = max(scores)
+    return sizes[scores.index(best)] if best > -1.0 else 3
 
 
 def _clusters(k: int) -> KMeans:
@@ -162,7 +163,7 @@ def segmented_shap(df: DataFrame, target: str, problem: str | None = None) -> Da
     if len(names) < 2 or len(complete.take(20)) < 20:
         return df.sparkSession.createDataFrame([], SEGMENT_SCHEMA)
     explained, names, _ = shap_values(df, target, problem)
-    vectors = explained.select("shap", array_to_vector("shap").alias("vector"))
+    vectors = spread_out(materialize(explained.select("shap", array_to_vector("shap").alias("vector"))))
     model = _clusters(choose_k(vectors)).fit(vectors)
     return segment_shares(model.transform(vectors), names)
 

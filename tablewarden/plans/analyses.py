@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import normalize_missing
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, together
 from tablewarden.operators import eda as explore
 from tablewarden.operators.checks import as_issues, detect_issues
 from tablewarden.operators.drift import DRIFT_SCHEMA, drift_report
@@ -111,12 +111,14 @@ def run_governance(
 
     issues = materialize(detect_issues(drop_empty_columns(df_ml), target, rules))
     formatted = materialize(_formatted(df_ml, target, issues, evaluate, key))
-    outliers, summary, share = _outlier_tables(df_ml, key)
-    impact, insights = _impact_tables(df_ml, target, problem)
+    (outliers, summary, share), (impact, insights), segments = together(
+        lambda: _outlier_tables(df_ml, key),
+        lambda: _impact_tables(df_ml, target, problem),
+        lambda: materialize(segmented_shap(df_ml, target, problem)),
+    )
     leakage = materialize(detect_leakage(df_ml, target, problem, impact))
     worst = worst_category(leakage).first()["worst_category"]
     arbitrated = materialize(arbitrate(formatted, share))
-    segments = materialize(segmented_shap(df_ml, target, problem))
 
     base = baseline_metrics(df, target, row_key).first()
     rows = df.count()
@@ -150,11 +152,7 @@ def run_governance(
     tables = {
         "issues": arbitrated.unionByName(format_issues(confirmed), allowMissingColumns=True),
         "column_profile": data_dictionary(df, found[IDENTIFIER], univariate_outliers(df)),
-        "histogram": explore.histogram(df),
-        "value_counts": explore.top_value_counts(df),
-        "correlation": explore.correlation_matrix(df),
-        "boxplot": explore.boxplot(df),
-        "boxplot_outliers": explore.boxplot_outliers(df),
+        **_exploratory_tables(df),
         "segments": segments,
         "segment_insights": segment_insights(segments),
         "outliers": outliers,
@@ -199,12 +197,16 @@ def full_analysis(
 
 def eda(df: DataFrame) -> dict[str, DataFrame]:
     """Histograms (also in stored form), value counts, correlations, boxplots and outliers."""
-    hist = explore.histogram(df)
-    return {
-        "histogram": hist,
-        "distributions": explore.histogram_arrays(hist),
-        "value_counts": explore.top_value_counts(df),
-        "correlation": explore.correlation_matrix(df),
-        "boxplot": explore.boxplot(df),
-        "boxplot_outliers": explore.boxplot_outliers(df),
+    tables = _exploratory_tables(df)
+    return {**tables, "distributions": explore.histogram_arrays(tables["histogram"])}
+
+
+def _exploratory_tables(df: DataFrame) -> dict[str, DataFrame]:
+    makers = {
+        "histogram": explore.histogram,
+        "value_counts": explore.top_value_counts,
+        "correlation": explore.correlation_matrix,
+        "boxplot": explore.boxplot,
+        "boxplot_outliers": explore.boxplot_outliers,
     }
+    return dict(zip(makers, together(*[lambda make=make: make(df) for make in makers.values()])))
