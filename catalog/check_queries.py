@@ -15,6 +15,7 @@ from catalog.sqltext import (
     with_input,
 )
 from tablewarden.functions.patterns import PII_PATTERNS
+from tablewarden.functions.runtime import together
 from tablewarden.operators import checks, identifiers, suggestions, targets
 
 
@@ -216,10 +217,10 @@ def _sequential_sql(source: str, key: str) -> str:
 
 @query("sequential_id", " union all ".join(_sequential_sql(t, c) for t, c in KEYS.items()))
 def sequential_id(spark, sf_dir):
-    found = [
-        (t, c) for t, key in KEYS.items()
-        for c in identifiers.sequential_columns(table(spark, sf_dir, t), [key])
-    ]
+    per_table = together(
+        *[lambda t=t, key=key: identifiers.sequential_columns(table(spark, sf_dir, t), [key]) for t, key in KEYS.items()]
+    )
+    found = [(t, c) for t, names in zip(KEYS, per_table) for c in names]
     return spark.createDataFrame(found, 'source string, column string')
 
 

@@ -16,6 +16,7 @@ from tablewarden.functions.columns import (
     normalize_missing,
     numeric_columns,
 )
+from tablewarden.functions.runtime import together
 from tablewarden.functions.stats import correlation_from_sums, pair_sums, ratio
 from tablewarden.operators.quantiles import exact_quantiles, iqr_fences
 from tablewarden.operators.values import distinct_estimates, value_counts
@@ -204,8 +205,8 @@ def correlation_matrix(df: DataFrame) -> DataFrame:
     names = numeric_columns(df)
     if len(names) < 2:
         return correlation_pairs(df, []).select("left", "right", "corr")
-    upper = correlation_pairs(df, names).select("left", "right", "corr")
-    varying = ranges_of(df, names)
+    pairs, varying = together(lambda: correlation_pairs(df, names), lambda: ranges_of(df, names))
+    upper = pairs.select("left", "right", "corr")
     diagonal = df.sparkSession.createDataFrame(
         [(c, c, 1.0 if c in varying and varying[c][0] < varying[c][1] else 0.0) for c in names],
         "left string, right string, corr double",

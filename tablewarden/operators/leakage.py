@@ -13,7 +13,7 @@ from tablewarden.functions.columns import (
     numeric_columns,
     plain_columns,
 )
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, together
 from tablewarden.functions.stats import n_log_n, pair_correlation, ratio
 from tablewarden.operators.profile import one_row_per_column
 from tablewarden.operators.quantiles import exact_quantiles
@@ -126,8 +126,10 @@ def class_information(df: DataFrame, target: str) -> DataFrame:
 def numeric_information(df: DataFrame, target: str) -> DataFrame:
     """Mutual information of feature levels or deciles with the deciles of a numeric target."""
     df = normalize_missing(df)
-    x = binned_features(df, features_of(df, target))
-    y = decile_bin(as_double(target), _inner_deciles(df, [target]).get(target, []))
+    x, edges = together(
+        lambda: binned_features(df, features_of(df, target)), lambda: _inner_deciles(df, [target])
+    )
+    y = decile_bin(as_double(target), edges.get(target, []))
     return mutual_information(contingency(df, target, x, y))
 
 
@@ -257,8 +259,10 @@ def detect_leakage(
     with at least 30 valid pairs. ``impacts`` is the feature impact table, if there is one."""
     df = normalize_missing(df)
     is_class = problem_type == "classification"
-    information = class_information(df, target) if is_class else numeric_information(df, target)
-    power = class_power(df, target, test) if is_class else numeric_power(df, target, test)
+    information, power = together(
+        lambda: (class_information if is_class else numeric_information)(df, target),
+        lambda: (class_power if is_class else numeric_power)(df, target, test),
+    )
     signals = (
         valid_pairs(df, target)
         .where(F.col("pairs") >= MIN_PAIRS)

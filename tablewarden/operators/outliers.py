@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns, present
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, together
 from tablewarden.operators.density import noise_1d, noise_nd, standardised
 from tablewarden.operators.forest import fit_forest, row_score, value_score
 from tablewarden.operators.quantiles import medians
@@ -159,8 +159,7 @@ def flag_outliers(
         scored = df.select("*", *[v.alias(c) for c, v in empty.items()], F.lit(0).alias("dbscan"))
         votes = scored.select("*", *[F.lit(False).alias(v) for v in DETECTORS])
         return _with_driver(_with_votes(votes, min_votes), [], {})
-    s = spreads(df, names)
-    scored = density_noise(df, names)
+    s, scored = together(lambda: spreads(df, names), lambda: density_noise(df, names))
     if use_forest:
         scored = materialize(forest_scores(scored, names, row_key))
         scored = min_max(scored, "isolation_forest", "_iso")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import (
+    TEXT_TYPES,
     as_double,
     col,
     is_numeric,
@@ -211,8 +212,9 @@ def data_dictionary(
             v = as_double(c)
             aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}")]
             out.update({"min": f"lo{i}", "max": f"hi{i}", "mean": f"m{i}"})
-        elif c in names:
-            text = col(c).cast("string")
+        elif isinstance(df.schema[c].dataType, TEXT_TYPES):
+            # The text of a time or a truth value matches none of the patterns.
+            text = col(c)
             aggs += [
                 _any_match(text, PII_WHOLE_VALUES).alias(f"p{i}"),
                 F.count_if(text.rlike(NUMBER_LIKE)).alias(f"f{i}"),
