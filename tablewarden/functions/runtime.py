@@ -45,8 +45,10 @@ def together(*calls: Callable) -> list:
     """Results of independent calls whose Spark jobs may run side by side."""
     if len(calls) < 2:
         return [c() for c in calls]
+    session = SparkSession.getActiveSession()
+    carry = inheritable_thread_target if session is None else inheritable_thread_target(session)
     with ThreadPoolExecutor(min(PARALLEL_JOBS, len(calls))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(c)) for c in calls]]
+        return [f.result() for f in [pool.submit(carry(c)) for c in calls]]
 
 
 def spread_out(stored: DataFrame) -> DataFrame:
