@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog import fixtures as fx
 from catalog.base import query, table
 from catalog.profile_queries import r6

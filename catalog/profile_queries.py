@@ -10,12 +10,10 @@ from catalog.sqltext import (
     EVENTS_NUMERIC,
     LINEITEM_NUMERIC,
     ORDER,
-    SCHEMAS,
     fences,
     mode_of,
     named,
     numeric_of,
-    text_of,
     type_of,
     union_all,
     with_input,
