@@ -21,7 +21,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back: lineage is cut,
     and a lost executor costs a reread only."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tablewarden-llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
