@@ -10,7 +10,8 @@ travel. Sequences that a group leaves with room go through a second round of gro
 
 from __future__ import annotations
 
-import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,55 +30,75 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces packed by one task.
 GROUP_ROWS = 60_000
-#: New pieces that one call of the tokenizer encodes.
-PIECES_A_CALL = 1000
 #: Texts whose new pieces are looked up together.
 TEXTS_AT_ONCE = 500
 
-_KNOWN: dict[str, Remembered] = {}
+_KNOWN: dict[str, _Words] = {}
 
 
-def _word_ids(path: str) -> Remembered:
-    """Ids (little-endian 32-bit) of space-separated pieces; this vocabulary drops white space and starts a new word
-    at each, so the pieces of a text are independent."""
-    if path not in _KNOWN:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+#: Below this character, text is in normal form C as it is and every letter has one lower-case letter.
+_SIMPLE = 0x130
+
+
+def _splitter():
+    """How this vocabulary's file splits simple lower-case text into words: contractions, letters, single digits,
+    other visible characters."""
+    kind = {c: unicodedata.category(chr(c))[0] for c in range(_SIMPLE)}
+    letters = "".join(re.escape(chr(c)) for c in kind if kind[c] == "L")
+    digits = "".join(re.escape(chr(c)) for c in kind if kind[c] == "N")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t-\\r \x85\xa0{letters}{digits}]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in of every byte: itself if printable in Latin-1, else the next free one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+class _Words:
+    """Ids (little-endian 32-bit) by word, for a vocabulary that drops white space and starts a new word at each."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        marks = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        mark, cut = next(iter(marks.items()))
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            # Many pieces a call, kept apart by a special token. The rare piece that holds one itself goes alone.
-            plain = [i for i, p in enumerate(pieces) if not any(m in p for m in marks)]
-            found = [b""] * len(pieces)
-            for at in range(0, len(plain), PIECES_A_CALL):
-                some = plain[at : at + PIECES_A_CALL]
-                text = f" {mark} ".join([pieces[i] for i in some])
-                ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == cut), len(ids))
-                raw, start = ids.tobytes(), 0
-                for i, end in zip(some, ends.tolist()):
-                    found[i], start = raw[4 * start : 4 * end], end + 1
-            for i in set(range(len(pieces))).difference(plain):
-                found[i] = np.array(tokenizer.encode(pieces[i], add_special_tokens=False).ids, "<u4").tobytes()
-            return found
-
-        _KNOWN[path] = Remembered(encode)
-    return _KNOWN[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = re.compile("|".join([f"[^\\x00-{chr(_SIMPLE - 1)}]", *special])).search
+        self.split = _splitter()
+        self.known = Remembered(self._compute)
+
+    def _compute(self, words: list[str]) -> Iterator[bytes]:
+        letters = _byte_letters()
+        for w in words:
+            spelled = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
+            yield np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[at : at + TEXTS_AT_ONCE]
+            split = [None if self.unusual(t) else self.split(t.lower()) for t in some]
+            self.known.fill(chain.from_iterable(filter(None, split)))
+            for text, words in zip(some, split):
+                if words is None:
+                    # Whole lines and words are independent; those that need the tokenizer's own rules go to it.
+                    yield b"".join(self._unusual(piece) for piece in text.split(" "))
+                else:
+                    yield b"".join(map(self.known.__getitem__, words))
+
+    def _unusual(self, piece: str) -> bytes:
+        if self.unusual(piece):
+            return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        words = self.split(piece.lower())
+        return b"".join(self.known.get(w) or next(self._compute([w])) for w in words)
 
 
 def encode_words(texts: list[str], path: str) -> Iterator[bytes]:
-    known = _word_ids(path)
-    for at in range(0, len(texts), TEXTS_AT_ONCE):
-        split = [t.replace("\n", " ").split(" ") for t in texts[at : at + TEXTS_AT_ONCE]]
-        known.fill(chain.from_iterable(split))
-        for pieces in split:
-            yield b"".join(map(known.__getitem__, pieces))
+    if path not in _KNOWN:
+        _KNOWN[path] = _Words(path)
+    return _KNOWN[path].encode(texts)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
