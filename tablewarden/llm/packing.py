@@ -49,7 +49,7 @@ def _splitter():
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\\t-\\r \x85\xa0{letters}{digits}]+").findall
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of every byte: itself if printable in Latin-1, else the next free one from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
@@ -71,7 +71,7 @@ class _Words:
         self.known = Remembered(self._compute)
 
     def _compute(self, words: list[str]) -> Iterator[bytes]:
-        letters = _byte_letters()
+        letters = byte_letters()
         for w in words:
             spelled = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])
             yield np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
