@@ -3,9 +3,9 @@
 A byte goes if some ``length``-byte string that covers it also starts anywhere else in the table. Three steps find
 those strings exactly, without giving every suffix of the corpus to the shuffle:
 
-1. Sparse suffixes. Each ``length``-byte window chooses the ``length // 2``-gram of smallest hash in it as its anchor. Equal
+1. Sparse suffixes. Each ``length``-byte window chooses the gram (three quarters of its length) of smallest hash in it as its anchor. Equal
    windows choose equal anchors at equal places, so only windows whose anchor's gram repeats can repeat. About one
-   suffix in a hundred is an anchor.
+   suffix in fifty is an anchor.
 2. Suffix order. Sampled splitters (``repartitionByRange``) range-partition the anchors by leading bytes, gram hash and
    hash of the span of all windows that choose it. Each bucket sorts locally by a multikey quicksort that refines tied runs key by
    key, and equal neighbours are marked; the first and last row of each bucket are compared across boundaries.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -34,12 +34,21 @@ from tablewarden.llm.common import removed, stored, tasks, without
 LENGTH = 400
 #: Bytes of a document that are hashed at a time; bounds a task's memory for any text length.
 STEP = 1 << 18
+#: Texts that a task unpacks together.
+TEXTS_AT_ONCE = 200
 #: Suffixes of one sorted bucket.
 BUCKET_ROWS = 400_000
 
+#: Share of a window that its anchor's gram takes. A longer gram means more anchors and fewer open windows.
+GRAM_SHARE = 0.75
+
 _PLACE = np.uint64((1 << 20) - 1)
 
 
+def gram_of(length: int) -> int:
+    return max(1, int(length * GRAM_SHARE))
+
+
 class _Rolling:
     """Polynomial hashes of substrings, modulo 2^64, from prefix sums over one block of bytes."""
 
@@ -108,7 +117,7 @@ def _leading(block: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def anchors(data: np.ndarray, length: int) -> list[np.ndarray]:
     """For each anchor of one text: first and last start of the windows that choose it, leading bytes and hash of its
     gram, hash of the span of those windows (with the anchor's place in it)."""
-    n, gram = len(data), max(1, length // 2)
+    n, gram = len(data), gram_of(length)
     starts, reach = n - length + 1, length - gram
     one, two = _hashes(length)
     found: list[list[np.ndarray]] = []
@@ -199,6 +208,12 @@ def _bytes(column: pa.Array, packed: bool = False) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint8) if len(raw) else np.empty(0, np.uint8)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """``docs`` with its column ``body`` compressed, for the two joins that have to move the texts."""
 
@@ -211,9 +226,25 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(emit, docs.schema)
 
 
+def _range() -> Column:
+    """A range of starts ``lo..hi`` as one long."""
+    return F.shiftleft("lo", 20).bitwiseOR(F.col("hi") - F.col("lo"))
+
+
+def _unpacked(ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lo = ranges >> 20
+    return lo, lo + (ranges & ((1 << 20) - 1))
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The values of an array column row by row; a null row is empty."""
+    for value in column:
+        yield value.values.to_numpy() if value.is_valid else np.empty(0, np.int64)
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield _suffix_batch(batch, [anchors(d, length) for d in _bytes(batch.column("body"))])
 
     return docs.mapInArrow(emit, _SUFFIX)
@@ -223,11 +254,13 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
     """Suffixes of the windows ``marks`` of ``docs (th, size, body, marks)``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             parts = []
-            for data, marks in zip(_bytes(batch.column("body"), packed=True), batch.column("marks").to_pylist()):
-                ranges = sorted((m["lo"], m["hi"]) for m in marks)
-                parts.append(windows(data, np.concatenate([np.arange(lo, hi + 1) for lo, hi in ranges]), length))
+            for data, marks in zip(_bytes(batch.column("body"), packed=True), _lists(batch.column("marks"))):
+                lo, hi = _unpacked(marks)
+                steps = hi - lo + 1
+                at = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps - lo, steps)
+                parts.append(windows(data, np.sort(at), length))
             yield _suffix_batch(batch, parts)
 
     return docs.mapInArrow(emit, _SUFFIX)
@@ -274,22 +307,20 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     sparse = stored(_anchor_rows(docs, length))
     marks = stored(_in_order(sparse))
     removed(sparse)
-    pending = marks.where("level != 2").groupBy(*_TEXT).agg(F.collect_set(F.struct("lo", "hi")).alias("marks"))
+    pending = marks.where("level != 2").groupBy(*_TEXT).agg(F.collect_set(_range()).alias("marks"))
     opened = _packed(docs).join(pending, _TEXT)
     dense = stored(_window_rows(opened, length))
     both = marks.where("level >= 2").union(_in_order(dense).where("level >= 2"))
-    return both.groupBy(*_TEXT).agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    return both.groupBy(*_TEXT).agg(F.collect_set(_range()).alias("starts"))
 
 
-def cut(data: np.ndarray, starts: list[dict] | None, length: int) -> tuple[bytes, list[dict]]:
+def cut(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[bytes, list[dict]]:
     """The bytes of a text outside its repeated windows, and the removed runs."""
-    if not starts or len(data) < length:
+    if not len(starts):
         return data.tobytes(), []
-    lo = np.maximum(np.fromiter((s["lo"] for s in starts), np.int64, len(starts)), 0)
-    hi = np.minimum(np.fromiter((s["hi"] for s in starts), np.int64, len(starts)), len(data) - length) + length
-    depth = np.zeros(len(data) + 1, np.int64)
-    np.add.at(depth, lo, 1)
-    np.add.at(depth, hi, -1)
+    lo, hi = _unpacked(starts)
+    size = len(data) + 1
+    depth = np.bincount(lo, minlength=size) - np.bincount(hi + length, minlength=size)
     gone = np.cumsum(depth)[:-1] > 0
     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2])]
@@ -318,14 +349,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            whole = list(_bytes(batch.column("body"), packed=True))
-            done = [cut(d, s, length) for d, s in zip(whole, batch.column("starts").to_pylist())]
+        for batch in _slices(batches):
+            texts = list(_bytes(batch.column("body"), packed=True))
+            done = [cut(d, s, length) for d, s in zip(texts, _lists(batch.column("starts")))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),
-                    pa.array([d.tobytes() for d in whole], pa.binary()),
-                    pa.array([len(d) for d in whole], pa.int64()),
+                    pa.array([d.tobytes() for d in texts], pa.binary()),
+                    pa.array([len(d) for d in texts], pa.int64()),
                     pa.array([k for k, _ in done], pa.binary()),
                     pa.array([s for _, s in done], kind),
                 ],
