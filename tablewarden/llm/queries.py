@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, packing, quality, simhash, suffix_dedup
+from tablewarden.llm import bpe, langid, packing, quality, simhash, suffix_dedup
 from tablewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_distribution_divergence")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
+
+
+@query("op6_language_mixture")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    langs, model = langid.learn(docs.where("not held_out"))
+    out = langid.predict(docs.drop("lang"), langs, model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "languages")
