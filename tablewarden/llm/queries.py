@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, langid, packing, quality, simhash, suffix_dedup
+from tablewarden.llm import bpe, importance, langid, packing, quality, simhash, suffix_dedup
 from tablewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs, model = langid.learn(docs.where("not held_out"))
     out = langid.predict(docs.drop("lang"), langs, model)
     return out.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+@query("op8_importance_resampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "log_weight", "gumbel_key", "selected")
