@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import bpe, importance, langid, packing, quality, simhash, suffix_dedup
+from tablewarden.llm import ann, bpe, importance, langid, packing, quality, simhash, suffix_dedup
 from tablewarden.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = importance.resample(docs, read(spark, sf_dir, "labels"))
     return out.select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
+@query("op2_inverted_multi_index")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
