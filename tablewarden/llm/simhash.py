@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -192,6 +192,32 @@ def near_duplicates(
     return prints.join(named, F.col("fingerprint_bits") == F.col("fp"), "left").select("doc_id", "fingerprint_bits", "component_id")
 
 
+def keep_one(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 3,
+    max_distance: int = 2,
+    n_pivots: int = PIVOTS,
+) -> DataFrame:
+    """``docs`` with one row of every near-duplicate class: that of smallest id (null last), then of smallest hash.
+
+    Rows that repeat both id and text are one document. All columns stay; an empty table stays empty.
+    """
+    key = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(n) for i, n in enumerate(("key one", "key two"))]
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key)
+    prints = materialize(with_fingerprint(named, "text", words, "fp").drop("text"))
+    distinct = prints.select("fp").distinct().withColumn("label", F.col("fp"))
+    parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct)
+    grouped = prints.join(parts, "fp", "left").select("id", "key one", "key two", F.coalesce("component", "fp").alias("group"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key one", "key two")).alias("w")
+    winners = grouped.groupBy("group").agg(first).select("w.key one", "w.key two").distinct()
+    # The join leaves equal keys together, so counting repeated rows moves no text again.
+    kept = docs.select("*", *key).join(winners, ["key one", "key two"], "left_semi")
+    same = Window.partitionBy("key one", "key two").orderBy("key one")
+    return kept.withColumn("copy no", F.row_number().over(same)).where(F.col("copy no") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hex_digits(bits: Column) -> Column:
     """A signed 64-bit fingerprint as 16 lower-case hex digits, highest bit first."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
