@@ -45,11 +45,12 @@ class Vocabulary:
         ids = model["vocab"]
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.bytes = {i: bytes(byte_of[c] for c in text) for text, i in ids.items() if text not in self.special}
-        self.bytes |= {i: text.encode() for text, i in self.special.items()}
+        self.bytes = token_bytes(path)
         self.single = {self.bytes[i][0]: i for text, i in ids.items() if text not in self.special and len(text) == 1}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merge = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.rank_of = {pair: rank for pair, (rank, _) in self.merge.items()}
+        self.made = [token for _, token in self.merge.values()]
         self._spines(len(ids))
         size = len(ids)
         codes = np.array([a * size + b for a, b in self.merge], np.int64)
@@ -135,11 +136,19 @@ class Vocabulary:
         ids = [self.single[b] for b in word]
         if len(ids) > 256:
             return self._merged_long(ids)
-        while len(ids) > 1:
-            rank, at = min((self.merge.get(pair, (_NEVER, 0))[0], i) for i, pair in enumerate(zip(ids, ids[1:])))
+        rank_of, made = self.rank_of, self.made
+        ranks = [rank_of.get(pair, _NEVER) for pair in zip(ids, ids[1:])]
+        while ranks:
+            rank = min(ranks)
             if rank == _NEVER:
                 break
-            ids[at : at + 2] = [self.merge[ids[at], ids[at + 1]][1]]
+            at = ranks.index(rank)
+            ids[at : at + 2] = [made[rank]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of.get((ids[at - 1], ids[at]), _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank_of.get((ids[at], ids[at + 1]), _NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -183,7 +192,7 @@ class Vocabulary:
     def _tested(self, codes: np.ndarray) -> np.ndarray:
         new = np.array([c for c in codes.tolist() if c not in self.pairs], np.int64)
         if len(new):
-            if len(self.pairs) + len(new) > 1_000_000:
+            if len(self.pairs) + len(new) > 200_000:
                 self.pairs.clear()
                 new = codes
             self.pairs.update(zip(new.tolist(), self.compatible(new // self.size, new % self.size).tolist()))
@@ -220,13 +229,36 @@ class Vocabulary:
                 except KeyError:
                     yield b"".join(special[w] if w in special else self.words[w] for w in words)
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of some ids; ids that are no token are left out, bytes that are no UTF-8 become U+FFFD."""
-        try:
-            raw = b"".join(map(self.bytes.__getitem__, ids))
-        except KeyError:
-            raw = b"".join(self.bytes.get(i, b"") for i in ids)
-        return raw.decode(errors="replace")
+
+_BYTES: dict[str, dict[int, bytes]] = {}
+
+
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every token id of a byte-level BPE file; special tokens are their own text."""
+    if path not in _BYTES:
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        special = {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+        found = {i: bytes(byte_of[c] for c in text) for text, i in file["model"]["vocab"].items() if i not in special}
+        _BYTES[path] = found | special
+    return _BYTES[path]
+
+
+def decoded(ids: list[int], table: dict[int, bytes]) -> str:
+    """Text of some ids; ids that are no token are left out, bytes that are no UTF-8 become U+FFFD."""
+    try:
+        raw = b"".join(map(table.__getitem__, ids))
+    except KeyError:
+        raw = b"".join(table.get(i, b"") for i in ids)
+    return raw.decode(errors="replace")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, to bound what a worker holds."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
 
 
 def _splitter():
@@ -259,7 +291,7 @@ def encode(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in _slices(batches):
             found = list(vocab.encode([t or "" for t in batch.column(text_col).to_pylist()]))
             ends = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
             flat = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
@@ -276,9 +308,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", tokenizer: str | None = None,
     schema = StructType([*rows.schema.fields, StructField(name, StringType())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        for batch in batches:
-            texts = [None if not v.is_valid else vocab.decode(v.values.to_numpy(zero_copy_only=False).tolist()) for v in batch.column(ids_col)]
+        table = token_bytes(path)
+        for batch in _slices(batches):
+            texts = [None if not v.is_valid else decoded(v.values.to_numpy(zero_copy_only=False).tolist(), table) for v in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return rows.mapInArrow(emit, schema)

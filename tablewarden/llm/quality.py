@@ -132,7 +132,7 @@ def js_distance(shares: str, reference: list[float]) -> Column:
         return (part(x) + part(y)) / 2
 
     total = F.aggregate(F.zip_with(shares, q, term), F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.greatest(total, F.lit(0.0)))
+    return F.when(F.col(shares).isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
