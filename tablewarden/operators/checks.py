@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.functions.columns import (
     as_double,
@@ -181,12 +183,35 @@ def _violation(df: DataFrame, rule: dict) -> Column | None:
     if kind == "max" and value is not None:
         return parsed_number(df, name) > value
     if kind == "in" and isinstance(value, list):
-        return F.coalesce(~col(name).isin(value), F.lit(True))
+        # A missing cell is allowed only if the list names null; values of another kind than the column never match.
+        allowed = _comparable(df, name, [v for v in value if v is not None])
+        return F.when(col(name).isNull(), F.lit(None not in value)).otherwise(~allowed)
     if kind == "not_null":
         return col(name).isNull()
     return None
 
 
+def _comparable(df: DataFrame, name: str, values: list) -> Column:
+    """Whether a present cell equals one of the values of the column's own kind."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.BooleanType):
+        fit = [bool(v) for v in values if isinstance(v, (bool, int, float)) and v in (0, 1)]
+        cell = col(name)
+    elif isinstance(kind, T.NumericType):
+        fit = [v for v in values if isinstance(v, (bool, int, float))]
+        whole = [int(v) for v in fit if isinstance(v, (bool, int)) or float(v).is_integer()]
+        parts = [float(v) for v in fit if not isinstance(v, (bool, int)) and not float(v).is_integer()]
+        if not isinstance(kind, T.IntegralType):
+            whole, parts = [], [float(v) for v in fit]
+        tests = [col(name).cast("decimal(38,0)").isin([Decimal(v) for v in whole])] if whole else []
+        tests += [as_double(name).isin(parts)] if parts else []
+        return reduce(Column.__or__, tests) if tests else F.lit(False)
+    else:
+        fit = [v for v in values if isinstance(v, str)]
+        cell = col(name) if is_text(df, name) else col(name).cast("string")
+    return cell.isin(fit) if fit else F.lit(False)
+
+
 def _expected_text(value) -> str | None:
     if value is None or isinstance(value, str):
         return value

@@ -5,8 +5,7 @@ it is noise when it is not core and no core row lies within ``eps``. Cluster lab
 needed. Values are standardised beforehand.
 
 A cell whose diagonal is ``eps`` and that holds ``min_samples`` rows makes all of its rows
-core. At most rows / min_samples cells qualify, so their list is small; only the rows outside
-of them are looked at one by one.
+core. Only the rows outside of such cells are looked at one by one.
 """
 
 from __future__ import annotations
@@ -19,14 +18,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.functions.runtime import materialize, spread_out, task_buckets
+from tablewarden.functions.runtime import materialize, task_buckets
 
-QUERY_BLOCK = 100_000
-PAIR_BLOCK = 1024
-SLICES = 64
-# Shares of the rows that are searched one after the other; queries that have found enough
-# neighbours leave early.
-SLICE_ENDS = [8, 24, SLICES]
+# Rows of one cell and side that meet in one task.
+PAIR_BLOCK = 2048
+# Columns that coarse cells are laid on.
+CELL_COLUMNS = 3
 
 
 def noise_1d(points: DataFrame, limits: DataFrame, eps: float) -> DataFrame:
@@ -110,83 +107,72 @@ def weight_within(points: DataFrame, queries: DataFrame, eps: float, edges: list
 def noise_nd(points: DataFrame, min_samples: int, eps: float) -> DataFrame:
     """Distinct noise rows of a frame whose columns are all standardised doubles.
 
-    Rows outside dense cells are compared by distance with the rows in blocks of bounded
-    size; a block's neighbour counts are added up per task and no pairs are shuffled.
+    Rows outside dense cells are held against the rows of neighbouring coarse cells only. Both sides of a cell are cut
+    into blocks of bounded size that meet in separate tasks; a task returns counts, never pairs, and no row passes
+    through the driver.
     """
     names = points.columns
-    points = spread_out(materialize(points))
+    rows = materialize(points.groupBy(*names).agg(F.count(F.lit(1)).alias("weight")))
     side = eps / math.sqrt(len(names))
     cell = [F.floor(F.col(c) / side).alias(f"cell_{c}") for c in names]
     keys = [f"cell_{c}" for c in names]
-    dense = (
-        points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).drop("n")
-    )
-    marked = (
-        points.select(*names, *cell)
-        .join(F.broadcast(dense.withColumn("dense", F.lit(True))), keys, "left")  # rows / min_samples cells
-        .select(*names, F.coalesce("dense", F.lit(False)).alias("dense"))
-    )
-    marked = materialize(marked)
-    queries = materialize(marked.where("not dense").select(*names).distinct())
-    core = materialize(_enough_neighbours(marked.select(*names), queries, eps, min_samples))
-    sparse = queries.join(core, names, "left_anti")
-    all_core = marked.where("dense").select(*names).unionByName(core)
-    reached = _enough_neighbours(all_core, materialize(sparse), eps, 1)
+    celled = rows.select(*names, "weight", *cell)
+    dense = celled.groupBy(*keys).agg((F.sum("weight") >= min_samples).alias("dense"))
+    marked = materialize(celled.join(dense, keys).select(*names, "weight", "dense"))
+    queries = marked.where("not dense").select(*names)
+    near = weight_near(marked.select(*names, "weight"), queries, eps)
+    core = materialize(near.where(F.col("weight") >= min_samples).select(*names))
+    sparse = materialize(queries.join(core, names, "left_anti"))
+    all_core = marked.where("dense").select(*names).unionByName(core).withColumn("weight", F.lit(1).cast("bigint"))
+    reached = weight_near(all_core, sparse, eps).select(*names)
     return sparse.join(reached, names, "left_anti")
 
 
-def _enough_neighbours(points: DataFrame, queries: DataFrame, eps: float, enough: int) -> DataFrame:
-    """The query rows with at least ``enough`` points within ``eps``."""
+def weight_near(points: DataFrame, queries: DataFrame, eps: float) -> DataFrame:
+    """Total weight of the ``points (*names, weight)`` within ``eps`` of each query row that has any.
+
+    Coarse cells have side ``eps`` on up to three leading columns, so the points near a query lie in its own cell or
+    one of the 3 to 26 round it.
+    """
     names = queries.columns
-    spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, math.ceil(total / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(*names), F.lit(blocks))
-    slot = F.pmod(F.xxhash64(F.lit(1), *names), F.lit(SLICES))
-    found = None
-    for b in range(blocks if total else 0):
-        # About QUERY_BLOCK distinct rows: the bound of what is broadcast.
-        rows = queries.where(block == b).toPandas().to_numpy(dtype="float64")
-        counts = np.zeros(len(rows), dtype="int64")
-        start = 0
-        for end in SLICE_ENDS:
-            open_ids = np.flatnonzero(counts < enough)
-            if not len(open_ids):
-                break
-            part = points.where((slot >= start) & (slot < end))
-            for r in _block_counts(part, rows[open_ids], eps).collect():
-                counts[open_ids[r["query"]]] += r["n"]
-            start = end
-        hits = pd.DataFrame(rows[counts >= enough], columns=names)
-        if len(hits):
-            part = spark.createDataFrame(hits, queries.schema)
-            found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], queries.schema) if found is None else found
-
-
-def _block_counts(points: DataFrame, queries: np.ndarray, eps: float) -> DataFrame:
-    shared = points.sparkSession.sparkContext.broadcast(queries)
+    lead = names[:CELL_COLUMNS]
+    keys = [f"cell_{i}" for i in range(len(lead))]
+    own = [F.floor(F.col(c) / eps).alias(k) for c, k in zip(lead, keys)]
+    here = points.select(*names, "weight", *own)
+    there = queries.select(*names, *own)
+    for k in keys:
+        there = there.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias(name))
+
+    plan = blocks(here, "point_blocks").join(blocks(there, "query_blocks"), keys)
+
+    def spread(df: DataFrame, mine: str, other: str) -> DataFrame:
+        """Rows in one block of their own side, copied to each block of the other side."""
+        out = df.join(plan, keys).withColumn(f"in_{mine}", F.pmod(F.xxhash64(*names), F.col(mine)))
+        return out.withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+
+    meet = [*keys, "in_point_blocks", "in_query_blocks"]
+    left = spread(here, "point_blocks", "query_blocks").groupBy(*meet)
+    # Names of its own, since both sides may come from one frame.
+    asked_for = spread(there, "query_blocks", "point_blocks").select(*[F.col(c).alias(f"asked {c}") for c in [*names, *meet]])
+    right = asked_for.groupBy(*[f"asked {c}" for c in meet])
     limit = eps * eps
 
-    def count(batches):
-        q = shared.value
-        totals = np.zeros(len(q), dtype="int64")
-        for batch in batches:
-            rows = batch.to_numpy(dtype="float64")
-            for i in range(0, len(q), PAIR_BLOCK):
-                part = q[i : i + PAIR_BLOCK]
-                for j in range(0, len(rows), PAIR_BLOCK):
-                    other = rows[j : j + PAIR_BLOCK]
-                    square = np.zeros((len(part), len(other)))
-                    for d in range(q.shape[1]):
-                        gap = part[:, d, None] - other[None, :, d]
-                        square += gap * gap
-                    totals[i : i + PAIR_BLOCK] += (square <= limit).sum(axis=1)
-        hit = np.flatnonzero(totals)
-        if len(hit):
-            yield pd.DataFrame({"query": hit, "n": totals[hit]})
-
-    return points.mapInPandas(count, "query bigint, n bigint").groupBy("query").agg(F.sum("n").alias("n"))
+    def count(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        rows, weight = near[names].to_numpy(dtype="float64"), near["weight"].to_numpy() if len(near) else np.zeros(0)
+        asked = asked.rename(columns={f"asked {c}": c for c in names})[names]
+        q = asked.to_numpy(dtype="float64")
+        square = np.zeros((len(q), len(rows)))
+        for d in range(len(names)):
+            gap = q[:, d, None] - rows[None, :, d]
+            square += gap * gap
+        total = ((square <= limit) * weight).sum(axis=1).astype("int64")
+        return asked.assign(weight=total)[total > 0]
+
+    schema = ", ".join(f"`{c}` double" for c in names) + ", weight bigint"
+    return left.cogroup(right).applyInPandas(count, schema).groupBy(*names).agg(F.sum("weight").alias("weight"))
 
 
 def standardised(value: Column, mean: float, spread: float) -> Column:

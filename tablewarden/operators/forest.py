@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -99,18 +100,14 @@ def fit_forest(
 
     ``None`` if there are fewer than 10 rows.
     """
-    pool = _pool(df, columns, row_key, seed)
     if per_column:
-        parts = F.array(
-            *[F.struct(F.lit(c).alias("forest"), F.get("features", F.lit(i)).alias("v")) for i, c in enumerate(columns)]
-        )
-        pool = (
-            pool.select("shuffle", F.explode(parts).alias("p"))
-            .where("p.v is not null")
-            .select("p.forest", F.array("p.v").alias("features"), "shuffle")
-        )
+        # Each column draws from its own present values, so that a sparse one still gets its forest.
+        pools = [
+            _pool(df.where(col(c).isNotNull()), [c], row_key, seed).withColumn("forest", F.lit(c)) for c in columns
+        ]
+        pool = reduce(DataFrame.unionByName, pools)
     else:
-        pool = pool.withColumn("forest", F.lit("rows"))
+        pool = _pool(df, columns, row_key, seed).withColumn("forest", F.lit("rows"))
     # The pool is bounded, so numbering it in one task per forest is too.
     numbered = pool.withColumn(
         "position", F.row_number().over(Window.partitionBy("forest").orderBy("shuffle")) - 1

@@ -59,6 +59,7 @@ def sequential_columns(
     names = [c for c in names if c in near_unique_columns(df, names)]
     if not names:
         return []
+    df = _from_least(df, names)
     edges = range_edges(df, names)
     cells = melt_with_range(df, names, edges)
     inside = Window.partitionBy("column", "bucket").orderBy("value")
@@ -84,6 +85,13 @@ def sequential_columns(
     return [c for c in names if c in found and (row_key is None or is_monotone(df, c, row_key))]
 
 
+def _from_least(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns counted from their least value, so that neighbouring 64-bit ids stay apart as doubles."""
+    least = df.agg(*[F.min(col(c)).cast("decimal(38,0)").alias(f"m{i}") for i, c in enumerate(names)]).first()
+    shifted = {c: (col(c).cast("decimal(38,0)") - F.lit(least[f"m{i}"])).cast("double") for i, c in enumerate(names) if least[f"m{i}"] is not None}
+    return df.select(*[shifted.get(c, col(c)).alias(c) for c in df.columns])
+
+
 def is_monotone(df: DataFrame, column: str, row_key: str) -> bool:
     """Whether ``column`` never falls, or never rises, in the order of a numeric row key."""
     if column == row_key:

@@ -31,7 +31,7 @@ from tablewarden.operators.governance import (
     with_confidence,
     with_impact,
 )
-from tablewarden.operators.models import FOLDS, baseline_metrics, problem_type, row_hash
+from tablewarden.operators.models import FOLDS, baseline_metrics, problem_type, row_part
 from tablewarden.operators.profile import drop_empty_columns
 from tablewarden.operators.suggestions import SECURITY_IMPACT, format_issues
 from tablewarden.operators.values import distinct_estimates, modes
@@ -74,7 +74,7 @@ def linear_score(df: DataFrame, target: str, row_key: str | None = None) -> Line
         *[F.coalesce(as_double(c), F.lit(0.0)).alias(f"n{i}") for i, c in enumerate(numbers)],
         *[F.coalesce(col(c).cast("string"), F.lit(str(fills.get(c, "")))).alias(f"t{i}") for i, c in enumerate(texts)],
         (col(target).cast("string") if is_class else as_double(target)).alias("y"),
-        F.pmod(row_hash(df, row_key), F.lit(FOLDS)).alias("fold"),
+        row_part(df, row_key, FOLDS).alias("fold"),
     )
     _, estimates = distinct_estimates(df, texts) if texts else (0, {})
     small = [f"t{i}" for i, c in enumerate(texts) if estimates[c][1] <= ONE_HOT_LEVELS]

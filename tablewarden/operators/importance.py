@@ -38,8 +38,8 @@ IMPACT_SCHEMA = (
 
 
 def split_rows(ready: Assembled) -> tuple[DataFrame, DataFrame]:
-    """80 % / 20 % by a hash of the row, stored in random order of rows."""
-    slot = F.pmod(F.xxhash64(F.lit(SEED), "features", "label"), F.lit(10))
+    """80 % / 20 % by a draw per row, stored in random order of rows, so that equal rows fall on both sides."""
+    slot = F.floor(F.rand(SEED) * 10)
     mixed = materialize(ready.data.select("features", "label", slot.alias("slot")).repartition("slot", F.rand(SEED)))
     return mixed.where("slot >= 2").drop("slot"), mixed.where("slot < 2").drop("slot")
 

@@ -76,6 +76,14 @@ def row_hash(df: DataFrame, row_key: str | None, salt: int = 0) -> Column:
     return F.xxhash64(F.lit(salt), *[col(k) for k in keys])
 
 
+def row_part(df: DataFrame, row_key: str | None, parts: int, salt: int = 0) -> Column:
+    """Part 0 to ``parts`` - 1 of each row: by its key, else by a draw, so that equal rows do not all share a part.
+    A draw must be stored with the rows before it is used twice."""
+    if row_key:
+        return F.pmod(row_hash(df, row_key, salt), F.lit(parts)).cast("int")
+    return F.floor(F.rand(SEED + salt) * parts).cast("int")
+
+
 def _coded(df: DataFrame, features: list[str], fill: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """Add one double column per feature: numbers with gaps filled, times as seconds, text as
     the code of its sorted value (hashed above 10,000 levels)."""
@@ -128,7 +136,7 @@ def assemble(
         raise NoUsableFeatures("no usable features")
     problem = problem or problem_type(df, target, max_classes)
     fill = medians(df, [c for c in features if is_numeric(df, c)]) if fill_median else {}
-    df = df.withColumn("fold", F.pmod(row_hash(df, row_key), F.lit(folds)) if folds else F.lit(0))
+    df = df.withColumn("fold", row_part(df, row_key, folds) if folds else F.lit(0))
     coded, names = _coded(df, features, {c: v for c, v in fill.items() if v is not None})
     classes: list[str] = []
     if problem == "classification":

@@ -19,14 +19,22 @@ def blobs(seed, n, d):
 
 @pytest.mark.parametrize("eps,needed", [(0.7, 12), (0.3, 30), (3.0, 5)])
 def test_nd_matches_brute_force(spark, eps, needed, monkeypatch):
-    # Small blocks, so that several query blocks and early leaving are covered.
-    monkeypatch.setattr(density, "QUERY_BLOCK", 90)
+    # Small blocks, so that cells are split on both sides.
+    monkeypatch.setattr(density, "PAIR_BLOCK", 20)
     z = blobs(3, 300, 3)
     df = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b", "c"]))
     found = {tuple(r) for r in density.noise_nd(df, needed, eps).collect()}
     assert found == {tuple(r) for r in z[brute_noise(z, eps, needed)]}
 
 
+def test_nd_beyond_the_cell_columns_and_with_repeated_rows(spark):
+    z = blobs(4, 200, 5)
+    z = np.vstack([z, np.repeat(z[:3], 9, axis=0)])
+    df = spark.createDataFrame(pd.DataFrame(z, columns=list("abcde")))
+    found = {tuple(r) for r in density.noise_nd(df, 8, 1.5).collect()}
+    assert found == {tuple(r) for r in z[brute_noise(z, 1.5, 8)]}
+
+
 @pytest.mark.parametrize("eps,needed", [(0.05, 5), (0.5, 20), (3.0, 8)])
 def test_1d_matches_brute_force(spark, eps, needed):
     z = blobs(5, 300, 1)
