@@ -16,7 +16,7 @@ def test_extract_equals_the_marked_article(spark):
         assert r["text"].split() == " ".join(blocks).split() and "\n\n" not in r["text"]
 
 
-def test_furniture_and_repeats_go(spark):
+def test_furniture_and_repeats_go(spark, monkeypatch):
     def page(i):
         return (
             f"<html><head><title>t{i}</title></head><body><div class='top'><span>Site of news</span></div><header>Head</header>"
@@ -36,6 +36,8 @@ def test_furniture_and_repeats_go(spark):
     assert got[100] == "" and got[101] == "" and got[102] == "plain <b> text" and got[104] == "deep"
     assert got[105] == " ".join(["word"] * 200_000)
     assert html_tree.extract(df.limit(0)).count() == 0
+    monkeypatch.setattr(html_tree, "BROADCAST_NODES", 0)  # the salted join
+    assert {r["page_id"]: r["text"] for r in html_tree.extract(df).collect()} == got
 
 
 def test_copies_of_one_page_keep_their_article(spark):
