@@ -190,7 +190,7 @@ def anomaly_driver(spark, sf_dir):
     VOTES_SQL + "select event_id, vote_count from v where vote_count >= 2 order by event_id limit 100",
 )
 def top_outliers(spark, sf_dir):
-    return outliers.top_outliers(_three_votes(spark, sf_dir), "event_id").select("event_id", "vote_count")
+    return outliers.top_outliers(_three_votes(spark, sf_dir), "event_id", k=100).select("event_id", "vote_count")
 
 
 @query("univariate_outliers")

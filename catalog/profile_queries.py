@@ -362,7 +362,7 @@ def _far_sql(c: str) -> str:
 
 @query("eda_outliers", with_input("select * from events", union_all(_far_sql, EVENTS_NUMERIC)))
 def eda_outliers(spark, sf_dir):
-    return eda.boxplot_outliers(table(spark, sf_dir, "events")).select("column", "position", r6("value"))
+    return eda.boxplot_outliers(table(spark, sf_dir, "events"), k=100).select("column", "position", r6("value"))
 
 
 @query(

@@ -232,8 +232,9 @@ def boxplot(df: DataFrame) -> DataFrame:
     )
 
 
-def boxplot_outliers(df: DataFrame, k: int = 100) -> DataFrame:
-    """Values outside the fences, per column at most the ``k`` furthest from the median.
+def boxplot_outliers(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Values outside the fences: all of them without an order (``position`` is null), or per column the ``k`` furthest
+    from the median.
 
     The rank filter runs per task before the exchange, so a task ships ``k`` rows per column.
     """
@@ -251,11 +252,11 @@ def boxplot_outliers(df: DataFrame, k: int = 100) -> DataFrame:
             ).alias(c)
         )
     order = Window.partitionBy("column").orderBy(F.desc("cell.distance"), F.asc("cell.value"))
+    found = df.select(*cells).unpivot([], [col(c) for c in fences], "column", "cell").where("cell is not null")
+    if k is None:
+        return found.select("column", F.lit(None).cast("int").alias("position"), "cell.value")
     return (
-        df.select(*cells)
-        .unpivot([], [col(c) for c in fences], "column", "cell")
-        .where("cell is not null")
-        .withColumn("position", F.row_number().over(order))
+        found.withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= k)
         .select("column", "position", "cell.value")
     )

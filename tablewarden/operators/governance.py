@@ -217,7 +217,6 @@ def decide(metrics: DataFrame) -> DataFrame:
 
 
 VALIDATION, ANALYSIS, DECISION = "VALIDATION PHASE", "ANALYSIS PHASE", "GOVERNANCE PHASE"
-LEAK_EVENTS_PER_CATEGORY = 3
 EVENT = "struct<phase:string,rule:string,severity:string,message:string>"
 
 
@@ -240,12 +239,12 @@ def _events(source: str, have: set[str], make, wanted=None, at_most: int | None
     return F.coalesce(F.transform(entries, make), F.array().cast(f"array<{EVENT}>"))
 
 
-def audit_log(decided: DataFrame, keys: list[str]) -> DataFrame:
+def audit_log(decided: DataFrame, keys: list[str], leak_events_each: int | None = None) -> DataFrame:
     """``*keys, position, phase, rule, severity, message``: one row per triggered rule.
 
     Works on the output of ``decide``. Optional array columns add their events:
     ``identifiers`` (column, class), ``issues`` (type, severity, description) and
-    ``leakage`` (feature, category, leakage_score).
+    ``leakage`` (feature, category, leakage_score), of which ``leak_events_each`` keeps the first of each category.
     """
     have = set(decided.columns)
     m = F.coalesce("missingness", F.lit(0.0))
@@ -309,7 +308,7 @@ def audit_log(decided: DataFrame, keys: list[str]) -> DataFrame:
     for category, (rule, severity) in leak_texts.items():
         found = _events(
             "leakage", have, leak_event(category, rule, severity), of_kind("category", category),
-            LEAK_EVENTS_PER_CATEGORY,
+            leak_events_each,
         )
         leak_events.append(F.when(worst == category, found).otherwise(F.array().cast(f"array<{EVENT}>")))
     clean_leak = ~worst.isin(*leak_texts)

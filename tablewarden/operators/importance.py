@@ -281,7 +281,7 @@ def drop_percent(base_score: Column) -> Column:
     return F.tanh(F.col("performance_impact") / F.greatest(F.abs(base_score), F.lit(0.15))) * 100
 
 
-def impact_insights(impact: DataFrame, base_score: Column, top: int | None = 5) -> DataFrame:
+def impact_insights(impact: DataFrame, base_score: Column, top: int | None = None) -> DataFrame:
     """Add ``kind``, ``drop_pct`` and ``insight`` to impact rows; ``top`` keeps the most important."""
     drop = F.format_string("%.1f", F.col("drop_pct"))
     text = None

@@ -230,8 +230,8 @@ def baseline_metrics(df: DataFrame, target: str, row_key: str | None = None) ->
     )
 
 
-def feature_importance(df: DataFrame, target: str, k: int = 10) -> DataFrame:
-    """``feature, importance``: the ``k`` largest forest importances over all rows."""
+def feature_importance(df: DataFrame, target: str, k: int | None = None) -> DataFrame:
+    """``feature, importance``: the forest importances over all rows, largest first; the ``k`` largest if given."""
     ready = assemble(df, target, max_classes=10, fill_median=True)
     model = forest(ready.problem, 50, 5).fit(ready.data)
     ranked = sorted(zip(ready.features, model.featureImportances.toArray().tolist()), key=lambda f: (-f[1], f[0]))

@@ -153,7 +153,7 @@ def flag_outliers(
     Without numeric columns no row is an outlier.
     """
     df = normalize_missing(df)
-    names = present(df, columns) if columns else numeric_columns(df, exclude or [])
+    names = present(df, columns) if columns is not None else numeric_columns(df, exclude or [])
     if not names:
         empty = {c: F.lit(0.0) for c in ("z_score", "mad_score", "isolation_forest")}
         scored = df.select("*", *[v.alias(c) for c, v in empty.items()], F.lit(0).alias("dbscan"))
@@ -237,9 +237,10 @@ def outlier_summary(flagged: DataFrame) -> DataFrame:
     )
 
 
-def top_outliers(flagged: DataFrame, row_key: str, k: int = 100) -> DataFrame:
-    """The first ``k`` outliers in key order, a top-k per task and one merge."""
-    return flagged.where("is_outlier").orderBy(col(row_key)).limit(k)
+def top_outliers(flagged: DataFrame, row_key: str, k: int | None = None) -> DataFrame:
+    """All outliers, or the first ``k`` in key order (a top-k per task and one merge)."""
+    found = flagged.where("is_outlier")
+    return found if k is None else found.orderBy(col(row_key)).limit(k)
 
 
 def univariate_outliers(

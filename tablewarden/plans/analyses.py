@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.columns import normalize_missing
+from tablewarden.functions.columns import col, normalize_missing, numeric_columns
 from tablewarden.functions.runtime import materialize, together
 from tablewarden.operators import eda as explore
 from tablewarden.operators.checks import as_issues, detect_issues
@@ -77,12 +77,12 @@ def _impact_tables(df: DataFrame, target: str, problem: str) -> tuple[DataFrame,
     return impact, impact_insights(impact, F.lit(base)).select("feature", "insight")
 
 
-def _outlier_tables(df: DataFrame, row_key: str | None, k: int = 100) -> tuple[DataFrame, DataFrame, float]:
-    flagged = materialize(flag_outliers(df, row_key=row_key))
+def _outlier_tables(df: DataFrame, row_key: str | None, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame, float]:
+    flagged = materialize(flag_outliers(df, columns=columns, row_key=row_key))
     summary = outlier_summary(flagged)
     share = summary.first()["percentage_flagged"]
     key = row_key or flagged.columns[0]
-    return top_outliers(flagged, key, k), summary, float(share)
+    return top_outliers(flagged, key), summary, float(share)
 
 
 def run_governance(
@@ -107,12 +107,15 @@ def run_governance(
     found = classify_identifiers(df, target)
     df_ml = df.drop(*[c for names in found.values() for c in names])
     key = row_key if row_key in df_ml.columns else None
+    # The key of the rows is kept for the outliers, also where it is an identifier that no model sees.
+    keyed = df_ml if key or row_key not in df.columns else df.select(*[col(c) for c in [*df_ml.columns, row_key]])
+    outlier_key = row_key if row_key in keyed.columns else None
     problem = _problem(df, target, prediction_type)
 
     issues = materialize(detect_issues(drop_empty_columns(df_ml), target, rules))
     formatted = materialize(_formatted(df_ml, target, issues, evaluate, key))
     (outliers, summary, share), (impact, insights), segments = together(
-        lambda: _outlier_tables(df_ml, key),
+        lambda: _outlier_tables(keyed, outlier_key, numeric_columns(df_ml)),
         lambda: _impact_tables(df_ml, target, problem),
         lambda: materialize(segmented_shap(df_ml, target, problem)),
     )
@@ -127,7 +130,10 @@ def run_governance(
         F.sort_array(F.collect_list(F.struct("type", "severity", "description"))).alias("issues"),
     )  # bounded by the number of columns and rules
     leaks = leakage.groupBy().agg(
-        F.sort_array(F.collect_list(F.struct("feature", "category", "leakage_score"))).alias("leakage")
+        F.transform(
+            F.sort_array(F.collect_list(F.struct((-F.col("leakage_score")).alias("order"), "feature", "category", "leakage_score"))),
+            lambda x: F.struct(x["feature"].alias("feature"), x["category"].alias("category"), x["leakage_score"].alias("leakage_score")),
+        ).alias("leakage")
     )
     metrics = spark.createDataFrame(
         [

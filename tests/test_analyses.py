@@ -40,7 +40,8 @@ def test_checks(docs):
 
 def test_governance_run_writes_tables(spark, docs, tmp_path):
     leaky = docs.withColumn("copy", docs["quality"] * 2)
-    tables = api.run_governance(leaky, "quality", evaluate=False, output_path=str(tmp_path), run_id="r1")
+    tables = api.run_governance(leaky, "quality", row_key="doc_id", evaluate=False, output_path=str(tmp_path), run_id="r1")
+    assert "doc_id" in tables["outliers"].columns
     row = tables["governance"].first()
     assert row["recommended_status"] == "REJECTED" and row["worst_category"] == "CONFIRMED_LEAKAGE"
     assert api.read_results(spark, str(tmp_path), "governance", "r1").count() == 1

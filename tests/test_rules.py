@@ -92,7 +92,8 @@ def test_audit_log_and_gate(spark):
         ).alias("leakage"),
     )
     decided = governance.decide(metrics)
-    log = governance.audit_log(decided, ["run"]).orderBy("position").collect()
+    log = governance.audit_log(decided, ["run"], leak_events_each=3).orderBy("position").collect()
+    assert governance.audit_log(decided, ["run"]).where("rule = 'LEAKAGE_CONFIRMED'").count() == 4
     rules = [r["rule"] for r in log]
     assert rules == [
         "IDENTIFIER_COLUMN_DETECTED", "DATASET_REGISTERED", "VALIDATION_STARTED", "HIGH_MISSINGNESS", "PII_DETECTED",
