@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import ann, bpe, html_tree, importance, langid, licenses, packing, quality, simhash, suffix_dedup
-from tablewarden.llm.common import read
+from tablewarden.llm.common import SPACE, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,9 +60,63 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_distribution_divergence")
+def _op4_sql() -> str:
+    """Base rules and nearest-reference distances, all in long form."""
+    chars = [f"length(regexp_replace(t, '[^{c.replace(chr(39), chr(39) * 2)}]', '', 'g'))" for c in quality.CLASSES.values()]
+    words = [f"len(list_filter(ws, lambda x: x = '{w}'))" for w in quality.VOCABULARY]
+    langs = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+    return f"""
+with w as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, lang,
+         regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') as ws
+  from documents
+), counted as (
+  select *, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACE}]')) as lines,
+         [{", ".join(chars)}] as chars, [{", ".join(words)}] as found
+  from w
+), windows as (
+  select r, i, array_to_string(ws[i : i + 4], chr(31)) as g
+  from (select r, ws, unnest(range(1, len(ws) - 3)) as i from w)
+), twice as (
+  select r, i from windows qualify count(*) over (partition by r, g) > 1
+), repeated as (
+  select r, count(distinct j) as n from (select r, unnest(range(i, i + 5)) as j from twice) group by r
+), shares as (
+  select r, lang, 0 as kind, unnest(range(len(chars) + 1)) as place, n_chars,
+         unnest(list_append(chars, n_chars - list_sum(chars))) / n_chars as p
+  from (select *, length(t) as n_chars from counted) where n_chars > 0
+  union all
+  select r, lang, 1, unnest(range(len(found) + 1)), n_words, unnest(list_append(found, n_words - list_sum(found))) / n_words
+  from counted where n_words > 0
+), refs as (
+  select lang, kind, place, avg(p) as q from shares where lang in ({langs}) group by all
+), apart as (
+  select s.r, q.lang, s.kind,
+         sum((case when p > 0 then p * log2(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * log2(q / ((p + q) / 2)) else 0 end) / 2) as d
+  from shares s join refs q on s.kind = q.kind and s.place = q.place
+  where s.lang is null or s.lang in (select lang from refs)
+  group by all
+), nearest as (
+  select r, min(case when kind = 0 then sqrt(greatest(d, 0)) end) as c, min(case when kind = 1 then sqrt(greatest(d, 0)) end) as v
+  from apart group by r
+), judged as (
+  select doc_id, n_words, word_chars, list_extract(chars, {list(quality.CLASSES).index("symbol") + 1}) as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, c, v
+  from counted left join repeated using (r) left join nearest using (r)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words as base_failed,
+       not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words)
+       and not coalesce(c > {quality.MAX_CHAR_DISTANCE} and word_chars >= {quality.MIN_CHARS_JUDGED}, false)
+       and not coalesce(v > {quality.MAX_WORD_DISTANCE} and n_words >= {quality.MIN_WORDS_JUDGED}, false) as kept
+from judged"""
+
+
+@query("op4_distribution_divergence", _op4_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
+    out = quality.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op6_language_mixture")
