@@ -18,12 +18,16 @@ from tablewarden.functions.columns import (
     present,
     text_columns,
 )
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import materialize, task_buckets
 from tablewarden.operators.profile import drop_sparse_columns
 from tablewarden.operators.quantiles import exact_quantiles, iqr_fences, medians
 from tablewarden.operators.values import missing_counts, modes
 
 MAX_LEVELS = 1000
+# Copies of one row that a task makes at once, and slices that the rows of a class are drawn into.
+COPY_BLOCK = 1000
+DRAW_SLICES = 1024
+DRAW_SEED = 42
 
 
 def replace_columns(df: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -223,8 +227,9 @@ def fix_imbalance(df: DataFrame, target: str) -> DataFrame:
     """Top up every class to the size of the largest by repeating its rows.
 
     Each row is repeated as often as all rows of its class can be; a class's remainder goes
-    to its first rows in stored partitions. Class sizes come out exact without sorting or
-    gathering a class. Rows without a class stay as they are.
+    to rows drawn at random. Class sizes come out exact without sorting or gathering a class. The copies of
+    a row are spread over tasks in blocks, so a single row of a class is not expanded in one task. Rows
+    without a class stay as they are.
     """
     df = normalize_missing(df)
     sizes = {
@@ -242,20 +247,34 @@ def fix_imbalance(df: DataFrame, target: str) -> DataFrame:
     for v, n in sizes.items():
         if largest // n > 1:
             copies = F.when(col(target) == F.lit(v), F.lit(largest // n)).otherwise(copies)
-    repeated = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    repeated = _copied(df, copies, max((largest // n for n in sizes.values()), default=1))
     short = {v: largest % n for v, n in sizes.items() if largest % n}
     return repeated.unionByName(_some_rows(df, target, short)) if short else repeated
 
 
+def _copied(df: DataFrame, copies: Column, most: int) -> DataFrame:
+    """Every row ``copies`` times (at most ``most``)."""
+    once = df.withColumn("_copies", copies)
+    few = once.where(F.col("_copies") <= COPY_BLOCK)
+    few = few.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
+    if most <= COPY_BLOCK:
+        return few
+    blocks = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPY_BLOCK).cast("int"))
+    many = once.where(F.col("_copies") > COPY_BLOCK).withColumn("_block", F.explode(blocks))
+    many = many.repartition(task_buckets(df.sparkSession))
+    here = F.least(F.lit(COPY_BLOCK), F.col("_copies") - F.col("_block") * COPY_BLOCK)
+    return few.unionByName(many.withColumn("_copy", F.explode(F.sequence(F.lit(1), here))).drop("_copy", "_copies", "_block"))
+
+
 def _some_rows(df: DataFrame, target: str, wanted: dict) -> DataFrame:
-    """Exactly ``wanted[class]`` rows of each class, whole stored partitions first."""
+    """Exactly ``wanted[class]`` rows of each class, drawn at random: whole slices of a stored draw first."""
     stored = materialize(
-        df.where(col(target).isin(list(wanted))).withColumn("_part", F.spark_partition_id())
+        df.where(col(target).isin(list(wanted))).withColumn("_part", F.floor(F.rand(DRAW_SEED) * DRAW_SLICES).cast("int"))
     )
     counted = (
         stored.groupBy(col(target).alias("level"), "_part").agg(F.count(F.lit(1)).alias("n"))
         .orderBy("level", "_part")
-        .collect()  # classes x partitions
+        .collect()  # classes x slices
     )
     whole, border, limits = F.lit(False), F.lit(False), F.lit(0)
     for v, need in wanted.items():
@@ -270,7 +289,7 @@ def _some_rows(df: DataFrame, target: str, wanted: dict) -> DataFrame:
                 limits = F.when(at_border, F.lit(need - taken)).otherwise(limits)
                 break
             taken += r["n"]
-    # A border group is part of one input partition; any of its rows will do.
+    # A border group is one slice of a class; any of its rows will do.
     order = Window.partitionBy(col(target), "_part").orderBy(F.monotonically_increasing_id())
     cut = (
         stored.where(border)

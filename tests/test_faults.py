@@ -1,6 +1,8 @@
 """Cases that once gave wrong answers."""
 
-from tablewarden.operators import checks, forest, identifiers, models
+from pyspark.sql import functions as F
+
+from tablewarden.operators import checks, cleaning, forest, identifiers, models
 
 
 def test_sequential_ids_beyond_double_precision(spark):
@@ -35,3 +37,17 @@ def test_sparse_column_gets_its_forest(spark):
     df = spark.range(60_000).selectExpr("cast(id as double) as full", "if(id % 1500 = 0, cast(id as double), null) as sparse")
     found = forest.fit_forest(df, ["full", "sparse"], per_column=True)
     assert set(found.forests) == {"full", "sparse"}
+
+
+def test_one_minority_row_is_copied_over_many_tasks(spark):
+    df = spark.range(30_001).selectExpr("id", "if(id = 30000, 'rare', if(id < 100, null, 'many')) as k")
+    got = cleaning.fix_imbalance(df, "k").cache()
+    assert {r["k"]: r["count"] for r in got.groupBy("k").count().collect()} == {"rare": 29_900, "many": 29_900, None: 100}
+    rows = got.where("k = 'rare'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) >= 4 and max(r["count"] for r in rows) < 15_000
+
+
+def test_oversampling_remainder_is_drawn_from_all_rows(spark):
+    df = spark.range(3000).selectExpr("id", "if(id < 1000, 'b', 'a') as k").coalesce(1)
+    twice = cleaning.fix_imbalance(df.where("id < 2500"), "k").where("k = 'b'").groupBy("id").count().where("count = 2")
+    assert twice.count() == 500 and twice.where("id < 500").count() < 350
