@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -14,7 +16,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a folder of its own.
+    session without that setting gets a folder of its own, which goes when the program ends.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,6 +29,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
     folder = tempfile.mkdtemp(prefix="tablewarden-checkpoint-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return folder
 
