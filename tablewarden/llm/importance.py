@@ -27,9 +27,11 @@ from tablewarden.llm.suffix_dedup import _mixed, _Rolling
 from tablewarden.operators.quantiles import exact_quantiles
 
 #: Power of two of hash buckets.
-BUCKET_BITS = 18
+BUCKET_BITS = 17
 #: Pseudo-count of every bucket in both models.
 SMOOTHING = 10.0
+#: Most labelled documents taken as target, drawn by a hash of their ids; the raw model counts all documents.
+TARGET_ROWS = 100_000
 #: One target document in so many is not learned from; the cut is taken from these.
 CALIBRATION = 4
 #: Longest word n-gram.
@@ -140,10 +142,12 @@ def resample(
     text_col: str = "text",
     k: int | None = None,
     target_loss: float = TARGET_LOSS,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``docs`` with ``log_weight``, ``gumbel_key`` and ``selected``.
 
-    ``labels`` has ``doc_id``, ``quality`` and ``toxic``; documents with quality 1 that are not toxic are the target. A
+    ``labels`` has ``doc_id``, ``quality`` and ``toxic``; documents with quality 1 that are not toxic are the target, at
+    most ``target_rows`` of them. A
     document labelled more than once is target if all its labels say so; labels of no document are ignored. Null and
     empty texts weigh 0. Documents whose keys tie at the cut are all selected, as are repeated rows with
     their twins. With no target at all nothing can be told apart: weights are 0 and all are selected. Columns with the
@@ -154,13 +158,15 @@ def resample(
     target = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("label id")).agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("target"))
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kept_out = F.pmod(F.xxhash64("id"), F.lit(CALIBRATION)) == 0
-    known = named.join(target, F.col("id") == F.col("label id"), "left").select("id", "text", (F.coalesce("target", F.lit(False)) & ~kept_out).alias("target"))
+    # A bounded list of ids finds the target in the scan; the texts stay where they are.
+    target = target.where("target").orderBy(F.xxhash64("label id"), "label id").limit(target_rows)
+    known = named.join(F.broadcast(target), F.col("id") == F.col("label id"), "left").select("id", "text", (F.coalesce("target", F.lit(False)) & ~kept_out).alias("target"))
     ratio = fit(known.select("text", "target"))
     # One small row per document for the cut: id, key and whether it is target.
     scored = with_weight(named, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel("id", "text")).drop("text")
     scored = stored(scored)
     if k is None:
-        mine = scored.where(kept_out).join(target.where("target"), F.col("id") == F.col("label id")).select("log_weight")
+        mine = scored.where(kept_out).join(F.broadcast(target), F.col("id") == F.col("label id")).select("log_weight")
         cut = exact_quantiles(mine, ["log_weight"], [target_loss])["log_weight"][0]
         k = scored.where(F.col("log_weight") >= cut).count() if cut is not None else None
     total = scored.count()
