@@ -26,6 +26,7 @@ from tablewarden.llm.tokens import Remembered, public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 TEXTS_AT_ONCE = 300
+REMEMBERED = 500_000
 
 #: Text below this character is split here; other text is split by the tokenizer's own pre-tokenizer.
 _SIMPLE = 0x130
@@ -70,7 +71,7 @@ class Vocabulary:
         self.unusual = re.compile("|".join([f"[^\\x00-{chr(_SIMPLE - 1)}]", *special])).search
         self.at_special = re.compile(f"({'|'.join(special)})").split if special else None
         self.split = _splitter()
-        self.words = Remembered(self._encode_words)
+        self.words = Remembered(self._encode_words, REMEMBERED)
 
     def _spines(self, size: int) -> None:
         """For every token, the nodes of its merge tree along its right and its left edge, from the token down, each
@@ -175,8 +176,9 @@ class Vocabulary:
         return [t for t in alive if t is not None]
 
     def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        special = {"\0" + s: [i] for s, i in self.special.items()}
         raw = [w.encode() for w in words]
-        tokens = [self.proposed(w) for w in raw]
+        tokens = [special.get(w) or self.proposed(r) for w, r in zip(words, raw)]
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         flat = np.fromiter(chain.from_iterable(tokens), np.int64, int(sizes.sum()))
         word = np.repeat(np.arange(len(tokens)), sizes)
@@ -200,7 +202,7 @@ class Vocabulary:
 
     def words_of(self, text: str) -> list[str]:
         """The pre-tokens of a text; a special token is a word of its own, marked by a null in front."""
-        if not self.unusual(text):
+        if not any(s in text for s in self.special) if text.isascii() else not self.unusual(text):
             return self.split(text)
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         out: list[str] = []
@@ -221,13 +223,9 @@ class Vocabulary:
         """Ids of each text as little-endian 32-bit numbers."""
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             split = [self.words_of(t) for t in texts[at : at + TEXTS_AT_ONCE]]
-            special = {"\0" + s: np.array([i], "<i4").tobytes() for s, i in self.special.items()}
-            self.words.fill(w for w in chain.from_iterable(split) if w not in special)
+            self.words.fill(chain.from_iterable(split))
             for words in split:
-                try:
-                    yield b"".join(map(self.words.__getitem__, words))
-                except KeyError:
-                    yield b"".join(special[w] if w in special else self.words[w] for w in words)
+                yield b"".join(map(self.words.__getitem__, words))
 
 
 _BYTES: dict[str, dict[int, bytes]] = {}
