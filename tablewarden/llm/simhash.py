@@ -68,6 +68,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > runs, bitorder="little").view("<u8")[0])
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """The words that a fingerprint is made of."""
+    return _WORDS.findall((text or "").encode().translate(_LOWER))
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "fingerprint_bits") -> DataFrame:
     """``docs`` with the fingerprint of its text as a long (the 64 bits, read as signed)."""
 
@@ -199,16 +204,26 @@ def keep_one(
     words: int = 3,
     max_distance: int = 2,
     n_pivots: int = PIVOTS,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``docs`` with one row of every near-duplicate class: that of smallest id (null last), then of smallest hash.
 
+    Two texts are linked by ``max_distance`` bits of their fingerprints. If ``similarity`` is given, they are instead
+    linked by that Jaccard similarity of their sets of ``words``-word runs, exactly (see ``jaccard``).
     Rows that repeat both id and text are one document. All columns stay; an empty table stays empty.
     """
     key = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(n) for i, n in enumerate(("key one", "key two"))]
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key)
-    prints = materialize(with_fingerprint(named, "text", words, "fp").drop("text"))
-    distinct = prints.select("fp").distinct().withColumn("label", F.col("fp"))
-    parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct)
+    if similarity is None:
+        prints = materialize(with_fingerprint(named, "text", words, "fp").drop("text"))
+        distinct = prints.select("fp").distinct().withColumn("label", F.col("fp"))
+        parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct)
+    else:
+        from tablewarden.llm import jaccard
+
+        prints = materialize(jaccard.with_set(with_fingerprint(named, "text", words, "fp"), words).drop("text"))
+        parts = jaccard.classes(named, prints, words, similarity, max_distance, n_pivots)
+        prints = prints.drop("fp").withColumnRenamed("s", "fp")
     grouped = prints.join(parts, "fp", "left").select("id", "key one", "key two", F.coalesce("component", "fp").alias("group"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key one", "key two")).alias("w")
     winners = grouped.groupBy("group").agg(first).select("w.key one", "w.key two").distinct()

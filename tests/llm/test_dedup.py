@@ -85,6 +85,64 @@ def test_keep_one_keeps_one_of_each_class(edge_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def plain_runs(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def check_similar(df, k=5, t=0.8):
+    """One of each class of texts of a similarity of ``t``, by comparing all pairs."""
+    rows = df.select("doc_id", "text").distinct().collect()
+    sets = sorted({plain_runs(r["text"], k) for r in rows}, key=lambda s: sorted(s))
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            small, large = sorted((len(a), len(sets[j])))
+            if small >= t * large and len(a & sets[j]) >= t * len(a | sets[j]) - 1e-9:
+                root[find(i)] = find(j)
+    number, least = {s: i for i, s in enumerate(sets)}, {}
+    for r in rows:
+        c = find(number[plain_runs(r["text"], k)])
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+        else:
+            least.setdefault(c, float("inf"))
+    got = Counter(r["doc_id"] for r in simhash.keep_one(df, words=k, similarity=t).collect())
+    assert got == Counter(None if i == float("inf") else i for i in least.values())
+
+
+def test_keep_one_by_similarity_equals_brute_force(spark, docs, edge_docs, no_docs, monkeypatch):
+    import random
+
+    from tablewarden.llm import jaccard
+
+    check_similar(docs)
+    check_similar(edge_docs)
+    assert simhash.keep_one(no_docs, words=5, similarity=0.8).count() == 0
+    # Chains of edits whose ends are far apart, a common passage, and sets right at the limit.
+    draw = random.Random(5)
+    texts, common = [], [f"c{i}" for i in range(90)]
+    for start in range(6):
+        words = [f"w{start}x{draw.randrange(10**6)}" for _ in range(100)]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[draw.randrange(100)] = f"e{draw.randrange(10**6)}"
+    texts += [" ".join(common + [f"u{draw.randrange(10**6)}" for _ in range(draw.randrange(8, 30))]) for _ in range(30)]
+    texts += [" ".join(common[:n]) for n in (84, 70, 68, 67, 54, 4, 3)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    check_similar(df)
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)  # another order of the shingles
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 2)
+    check_similar(df)
+
+
 def plain_cut(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
