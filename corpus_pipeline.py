@@ -33,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 400-byte strings that occur more than once. A character that a cut leaves in part becomes
+    """Documents without the runs of 51 words and the 400-byte strings that occur more than once. A character that a cut leaves in part becomes
     U+FFFD; ``n_chars`` is that of the new text. Null texts stay null, and a text that loses everything is empty."""
-    out = suffix_dedup.remove_repeats(docs)
+    out = suffix_dedup.remove_repeats(docs, words=51)
     text = F.when(F.col("text").isNotNull(), F.make_valid_utf8(F.col("kept_bytes").cast("string")))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:

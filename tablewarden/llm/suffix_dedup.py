@@ -15,21 +15,25 @@ those strings exactly, without giving every suffix of the corpus to the shuffle:
    their own (leading bytes and a hash of their ``length`` bytes) and go through the same order. These lie
    round the ends of repeated passages.
 
+The same order also runs over words: a word is then one symbol, named by its 64-bit hash, in place of a byte.
+
 Hashes are 64-bit polynomials over random byte values. Rows count as equal if leading bytes and hashes agree.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tablewarden.llm.common import removed, stored, tasks, without
+from tablewarden.llm.common import SPACE, removed, stored, tasks, without
 
 LENGTH = 400
 #: Bytes of a document that are hashed at a time; bounds a task's memory for any text length.
@@ -42,6 +46,7 @@ BUCKET_ROWS = 400_000
 #: Share of a window that its anchor's gram takes. A longer gram means more anchors and fewer open windows.
 GRAM_SHARE = 0.75
 
+_WORDS = re.compile(rf"[^{SPACE}]+".encode())
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -55,6 +60,7 @@ class _Rolling:
     def __init__(self, seed: int, size: int):
         draw = np.random.default_rng(seed)
         self.byte = draw.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.mask = self.byte[0]
         base = int(draw.integers(0, 1 << 62)) * 2 + 1
         self.power = self._powers(base, size)
         self.inverse = self._powers(pow(base, -1, 1 << 64), size)
@@ -67,7 +73,8 @@ class _Rolling:
 
     def prefix(self, block: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(self.byte[block] * self.power[: len(block)], out=sums[1:])
+        values = self.byte[block] if block.dtype == np.uint8 else _mixed(block ^ self.mask)
+        np.cumsum(values * self.power[: len(block)], out=sums[1:])
         return sums
 
     def of(self, sums: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -107,7 +114,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _leading(block: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The first ``min(size, 8)`` bytes as a number that sorts like them."""
+    """The first ``min(size, 8)`` bytes as a number that sorts like them; of words, the first one's hash."""
+    if block.dtype != np.uint8:
+        return block[at]
     out = np.zeros(len(at), np.uint64)
     for i in range(8):
         out = (out << np.uint64(8)) | (block[at + i].astype(np.uint64) if i < size else np.uint64(0))
@@ -208,6 +217,18 @@ def _bytes(column: pa.Array, packed: bool = False) -> Iterator[np.ndarray]:
         yield np.frombuffer(raw, np.uint8) if len(raw) else np.empty(0, np.uint8)
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of a text."""
+    raw = data.tobytes()
+    spans = np.array([m.span() for m in _WORDS.finditer(raw)], np.int64).reshape(-1, 2)
+    names = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in spans.tolist()), np.uint64, len(spans))
+    return names, spans[:, 0], spans[:, 1]
+
+
+def _symbols(data: np.ndarray, by_words: bool) -> np.ndarray:
+    return word_spans(data)[0] if by_words else data
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -242,15 +263,15 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield value.values.to_numpy() if value.is_valid else np.empty(0, np.int64)
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, by_words: bool) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            yield _suffix_batch(batch, [anchors(d, length) for d in _bytes(batch.column("body"))])
+            yield _suffix_batch(batch, [anchors(_symbols(d, by_words), length) for d in _bytes(batch.column("body"))])
 
     return docs.mapInArrow(emit, _SUFFIX)
 
 
-def _window_rows(docs: DataFrame, length: int) -> DataFrame:
+def _window_rows(docs: DataFrame, length: int, by_words: bool) -> DataFrame:
     """Suffixes of the windows ``marks`` of ``docs (th, size, body, marks)``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +281,7 @@ def _window_rows(docs: DataFrame, length: int) -> DataFrame:
                 lo, hi = _unpacked(marks)
                 steps = hi - lo + 1
                 at = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps - lo, steps)
-                parts.append(windows(data, np.sort(at), length))
+                parts.append(windows(_symbols(data, by_words), np.sort(at), length))
             yield _suffix_batch(batch, parts)
 
     return docs.mapInArrow(emit, _SUFFIX)
@@ -299,38 +320,48 @@ def _in_order(suffixes: DataFrame) -> DataFrame:
     return marked.where("not edge").select(*_TEXT, "lo", "hi", "level").union(across).where("level > 0")
 
 
-def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
-    """``(th, size, starts)``: for texts of ``docs (th, size, body)``, ranges ``lo..hi`` of starts of repeated windows.
+def repeated_starts(docs: DataFrame, length: int, by_words: bool = False) -> DataFrame:
+    """``(th, size, starts)``: for texts of ``docs (th, size, body)``, ranges ``lo..hi`` of starts of repeated windows
+    of ``length`` bytes or words.
 
     A text is named by its 64-bit hash and its size, so that copies of it share one row; they all lose the same bytes.
     """
-    sparse = stored(_anchor_rows(docs, length))
+    sparse = stored(_anchor_rows(docs, length, by_words))
     marks = stored(_in_order(sparse))
     removed(sparse)
     pending = marks.where("level != 2").groupBy(*_TEXT).agg(F.collect_set(_range()).alias("marks"))
     opened = _packed(docs).join(pending, _TEXT)
-    dense = stored(_window_rows(opened, length))
+    dense = stored(_window_rows(opened, length, by_words))
     both = marks.where("level >= 2").union(_in_order(dense).where("level >= 2"))
     return both.groupBy(*_TEXT).agg(F.collect_set(_range()).alias("starts"))
 
 
-def cut(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[bytes, list[dict]]:
-    """The bytes of a text outside its repeated windows, and the removed runs."""
-    if not len(starts):
+def cut(data: np.ndarray, starts: np.ndarray, length: int, word_starts: np.ndarray | None = None, words: int = 0) -> tuple[bytes, list[dict]]:
+    """The bytes of a text outside its repeated windows of bytes and of words, and the removed runs. The white space
+    between two words of one window goes with them."""
+    word_starts = np.empty(0, np.int64) if word_starts is None else word_starts
+    if not len(starts) and not len(word_starts):
         return data.tobytes(), []
-    lo, hi = _unpacked(starts)
     size = len(data) + 1
+    lo, hi = _unpacked(starts)
     depth = np.bincount(lo, minlength=size) - np.bincount(hi + length, minlength=size)
+    if len(word_starts):
+        _, first, end = word_spans(data)
+        lo, hi = _unpacked(word_starts)
+        depth += np.bincount(first[lo], minlength=size) - np.bincount(end[hi + words - 1], minlength=size)
     gone = np.cumsum(depth)[:-1] > 0
     turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2])]
     return data[~gone].tobytes(), spans
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with ``n_bytes``, ``kept_bytes`` (binary: the UTF-8 bytes that stay, in order) and ``removed_spans``
     (array of ``start, end`` byte ranges).
 
+    If ``words`` is given, a run of that many words that also stands anywhere else goes too, whatever white space
+    separates its words.
+
     A null or empty text has no bytes and loses none; a text shorter than ``length`` stays whole. Rows that repeat the
     same text are different documents, so each copy of at least ``length`` bytes is removed entirely, whatever their
     other columns hold. A cut may fall inside a character; the bytes are returned as they are. Columns of the input
@@ -343,7 +374,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     rest = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("no text")).alias("row"), *named
     )
-    joined = _packed(rest).join(found, _TEXT, "left").select("row", "body", "starts")
+    if words:
+        by_words = repeated_starts(docs.select(*named), words, True).withColumnRenamed("starts", "word_starts")
+        found = found.join(by_words, _TEXT, "full")
+    else:
+        found = found.withColumn("word_starts", F.lit(None).cast("array<long>"))
+    joined = _packed(rest).join(found, _TEXT, "left").select("row", "body", "starts", "word_starts")
     spans = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
     schema = StructType([*joined.schema.fields[:2], StructField("n_bytes", LongType()), StructField("kept_bytes", BinaryType()), StructField("removed_spans", spans)])
 
@@ -351,7 +387,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in _slices(batches):
             texts = list(_bytes(batch.column("body"), packed=True))
-            done = [cut(d, s, length) for d, s in zip(texts, _lists(batch.column("starts")))]
+            starts = zip(_lists(batch.column("starts")), _lists(batch.column("word_starts")))
+            done = [cut(d, s, length, w, words or 0) for d, (s, w) in zip(texts, starts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),

@@ -186,6 +186,33 @@ def test_repeats_over_small_blocks_and_periods(spark, monkeypatch):
     check_cut(df, 3)
 
 
+def plain_word_cut(texts, length, words):
+    """Bytes kept outside repeated strings of ``length`` bytes and repeated runs of ``words`` words."""
+    pattern = re.compile(rb"[^\x20\x09-\x0d]+")
+    found = [[m.span() for m in pattern.finditer(t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in s[i : i + words]) for i in range(len(s) - words + 1)] for t, s in zip(texts, found)]
+    seen, out = Counter(r for x in runs for r in x), []
+    for t, s, x, (_, spans) in zip(texts, found, runs, plain_cut(texts, length)):
+        gone = bytearray(len(t))
+        for a, b in spans + [(s[i][0], s[i + words - 1][1]) for i, r in enumerate(x) if seen[r] > 1]:
+            gone[a:b] = b"\1" * (b - a)
+        out.append(bytes(c for c, g in zip(t, gone) if not g))
+    return out
+
+
+def test_repeated_words_equal_brute_force(spark, edge_docs, docs):
+    import random
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("a b é".split()) + draw.choice(["", "", "\n"]) for _ in range(draw.randint(0, 40))) for _ in range(30)]
+    small = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for df, length, words in ((docs, 400, 51), (edge_docs.where("doc_id is null or doc_id != 7"), 400, 51), (small, 30, 6), (small, 25, 1)):
+        rows = df.collect()
+        want = plain_word_cut([(r["text"] or "").encode() for r in rows], length, words)
+        got = suffix_dedup.remove_repeats(df, length=length, words=words).collect()
+        assert Counter((r["text"], bytes(r["kept_bytes"])) for r in got) == Counter((r["text"], k) for r, k in zip(rows, want))
+
+
 def test_long_text_in_steps():
     """Blocks of a long text give the anchors and windows of the whole."""
     import numpy as np
