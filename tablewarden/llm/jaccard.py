@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewarden.llm import simhash
-from tablewarden.llm.common import stored
+from tablewarden.llm.common import removed, stored
 
 #: Texts whose shingles are counted to put frequent ones last. The order only decides the cost, never the result.
 SAMPLE_TEXTS = 4_000
@@ -149,7 +149,9 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "j"])
 
     both = _with_text(_with_text(pairs, "a", texts), "b", texts).select("a", "b", "body_a", "body_b")
-    return stored(both.mapInArrow(compare, "a long, b long, j double"))
+    out = stored(both.mapInArrow(compare, "a long, b long, j double"))
+    removed(texts)
+    return out
 
 
 def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, max_distance: int, n_pivots: int) -> DataFrame:
@@ -157,8 +159,13 @@ def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, m
     ``prints (id, key one, key two, s, fp)``: the set and the SimHash of every document."""
     near = F.col("j") >= similarity - 1e-9
     rows = stored(_prefix_rows(docs.select("text"), words, similarity))
-    shared = rows.groupBy("token").agg(F.min(F.struct("s", "n")).alias("least"), F.max("s").alias("most")).where("least.s != most")
-    met = stored(rows.join(shared.select("token", F.col("least.s").alias("leader"), F.col("least.n").alias("leader_n")), "token").distinct())
+    # Most shingles stand once. They are left out by their count alone before the sets that share the others are named.
+    often = rows.groupBy("token").count().where("count > 1").select("token")
+    few = stored(rows.join(often, "token", "left_semi").distinct())
+    removed(rows)
+    shared = few.groupBy("token").agg(F.min(F.struct("s", "n")).alias("least"), F.max("s").alias("most")).where("least.s != most")
+    met = stored(few.join(shared.select("token", F.col("least.s").alias("leader"), F.col("least.n").alias("leader_n")), "token"))
+    removed(few)
     stars = met.where(F.col("s") != F.col("leader")).where(_large_enough("n", "leader_n", similarity)).select(F.col("leader").alias("a"), F.col("s").alias("b"))
     sets = prints.select("fp", "s").distinct()
     heads = stored(sets.groupBy("fp").agg(F.min("s").alias("head")))
@@ -177,6 +184,7 @@ def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, m
     classed = classed.join(away, ["leader", "s"], "left").withColumn("d", F.when(F.col("s") == F.col("leader"), 0.0).otherwise(F.col("d")))
     sized = classed.groupBy("token", "c").count().groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"))
     mixed = stored(classed.join(sized.where("kinds > 1").select("token", "main"), "token"))
+    removed(met)
     x, y = mixed.where("c != main").alias("x"), mixed.alias("y")
     overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = x.join(
@@ -191,6 +199,7 @@ def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, m
         & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9, F.lit(True)),
     )
     pairs = stored(pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    removed(mixed)
     if pairs.isEmpty():
         return parts
     return simhash.components(certain.union(verified(pairs, docs, prints, words).where(near).select("a", "b")), labels)
