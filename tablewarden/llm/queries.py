@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import ann, bpe, html_tree, importance, langid, licenses, packing, quality, simhash, suffix_dedup
+from tablewarden.llm import ann, bpe, html_tree, importance, langid, licenses, packing, quality, set_queries, simhash, suffix_dedup  # noqa: F401
 from tablewarden.llm.common import SPACE, read
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
+from tablewarden.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
