@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def removed(stored_df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Texts that a task holds in Python at a time.
+TEXTS_AT_ONCE = 200
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, which bounds the copies that a task makes of its texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def tasks(spark: SparkSession, rows: int, per_task: int) -> int:
     """Partitions for ``rows`` rows of at most about ``per_task`` each, and no fewer than the shuffle default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // per_task))
@@ -44,3 +57,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator is about to add, in any letter case."""
     low = {n.lower() for n in names}
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+#: A key is hot if more than one row in so many has it; there are fewer hot keys than this number.
+HOT_SHARE = 1_000
+
+
+def joined_apart(many: DataFrame, few: DataFrame, on: list[str], rows_of_key: str, total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has one row per key and in ``rows_of_key`` how many rows of ``many`` have it.
+
+    Rows of hot keys stay where they are and meet a broadcast of fewer than ``HOT_SHARE`` rows; all other keys are dealt out.
+    ``many`` is read twice.
+    """
+    limit = total // HOT_SHARE
+    hot, cold = few.where(F.col(rows_of_key) > limit), few.where(F.col(rows_of_key) <= limit)
+    apart = many.join(F.broadcast(hot), on)
+    return apart.unionByName(many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how).select(*apart.columns))

@@ -18,10 +18,10 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tablewarden.llm import simhash
-from tablewarden.llm.common import removed, stored
+from tablewarden.llm.common import removed, slices, stored, tasks
 
 #: Texts whose shingles are counted to put frequent ones last. The order only decides the cost, never the result.
 SAMPLE_TEXTS = 4_000
@@ -30,11 +30,14 @@ MOST_FREQUENT = 100_000
 #: Pairs of one text that are compared in one task.
 PAIRS_AT_ONCE = 1_000
 
+#: Shingles of one sorted range.
+ROWS_PER_TASK = 400_000
+
 _FACTORS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Hashes of the distinct runs of ``words`` lower-case words, sorted; a shorter text is one run."""
+def runs(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of ``words`` lower-case words, repeats included; a shorter text is one run."""
     found = simhash.plain_words(text)
     if not found:
         return np.empty(0, np.uint64)
@@ -44,22 +47,16 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     for i in range(take):
         out += h[i : i + len(out)] * _FACTORS[i]
     out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(out ^ (out >> np.uint64(29)))
-
-
-def set_name(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+    return out ^ (out >> np.uint64(29))
 
 
-def with_set(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with the name ``s`` of the shingle set of its column ``text``."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct ``runs``, sorted."""
+    return np.unique(runs(text, words))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = [set_name(shingles(t.as_py(), words)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64())], [*batch.schema.names, "s"])
 
-    return docs.mapInArrow(add, StructType([*docs.schema.fields, StructField("s", LongType())]))
+def set_name(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -88,21 +85,78 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def _prefix_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(token, s, n, place)`` of the first shingles of every text's set ``s`` of ``n`` shingles."""
-    frequent, counts = _frequent(texts, words)
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, counts))
+def _prints(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(id, key one, key two, fp, s, n, first)`` of ``docs (id, text, key one, key two)``, each text being shingled once: SimHash,
+    name and size of its set and the set's first shingles. A task gives the first shingles of a set once."""
+    frequent, counts = _frequent(docs.select("text"), words)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+    schema = StructType([*[f for f in docs.schema.fields if f.name != "text"], *[StructField(c, LongType()) for c in ("fp", "s", "n")], StructField("first", ArrayType(LongType()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingles(text.as_py(), words)
-                first = prefix(found, *shared.value, similarity)
-                k = len(first)
-                columns = [first.view(np.int64), np.full(k, set_name(found), np.int64), np.full(k, len(found), np.int64), np.arange(k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "s", "n", "place"])
-
-    return texts.mapInArrow(emit, "token long, s long, n long, place long")
+        seen: set[int] = set()
+        for batch in slices(batches):
+            fp, s, n, first = [], [], [], []
+            for text in batch.column("text"):
+                h = runs(text.as_py(), words)
+                found = np.unique(h)
+                name = set_name(found)
+                fp.append(simhash.majority(simhash.ones_per_bit(h), len(h)))
+                s.append(name)
+                n.append(len(found))
+                first.append(None if name in seen else prefix(found, *shared.value, similarity).view(np.int64))
+                seen.add(name)
+                if len(seen) > simhash.SEEN:
+                    seen.clear()
+            numbers = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
+            kept = [batch.column(f.name) for f in schema.fields[:-4]]
+            yield pa.RecordBatch.from_arrays([*kept, *numbers], schema.names)
+
+    return docs.mapInArrow(emit, schema)
+
+
+_MET = "token long, s long, n long, place long, leader long, leader_n long, leader_place long"
+
+
+def _meetings(prints: DataFrame) -> DataFrame:
+    """``(token, s, n, place)`` of the first shingles that several sets have, with the least of these sets (``leader``).
+
+    One exchange: ranges of (token, s), so that a shingle of many sets fills many tasks. Each task sorts its range, drops
+    the shingles that stand once and names the leaders; the first and last shingle of a range are settled between ranges.
+    """
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = [b for b in batches if b.num_rows]
+        if not filled:
+            return
+        table = pa.Table.from_batches(filled)
+        token, s = (table.column(c).to_numpy() for c in ("token", "s"))
+        order = np.lexsort((s, token))
+        token, s = token[order], s[order]
+        new = np.ones(len(order), bool)
+        new[1:] = token[1:] != token[:-1]
+        # Tasks that met copies of a set each gave its rows.
+        once = new.copy()
+        once[1:] |= s[1:] != s[:-1]
+        order, token, new = order[once], token[once], new[once]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        edge = (group == 0) | (group == group[-1])
+        keep = np.flatnonzero((np.bincount(group)[group] > 1) | edge)
+        rows, heads = order[keep], order[start[group[keep]]]
+        out = [table.column(c).combine_chunks().take(pa.array(rows)) for c in ("token", "s", "n", "place")]
+        out += [table.column(c).combine_chunks().take(pa.array(heads)) for c in ("s", "n", "place")]
+        names = ["token", "s", "n", "place", "leader", "leader_n", "leader_place", "edge"]
+        yield from pa.table([*out, pa.array(edge[keep])], names=names).to_batches(max_chunksize=100_000)
+
+    rows = prints.where("first is not null").select("s", "n", F.posexplode("first").alias("place", "token"))
+    rows = rows.select("token", "s", "n", F.col("place").cast("long").alias("place"))
+    total = prints.agg(F.sum(F.size("first")).alias("n")).head()[0] or 0
+    count = tasks(prints.sparkSession, total, ROWS_PER_TASK)
+    marked = stored(rows.repartitionByRange(count, "token", "s").mapInArrow(lead, _MET + ", edge boolean"))
+    edges = marked.where("edge").select("token", "s", "n", "place")
+    shared = edges.groupBy("token").agg(F.min(F.struct("s", "n", "place")).alias("least"), F.max("s").alias("most")).where("least.s != most")
+    across = edges.join(shared, "token").select("token", "s", "n", "place", F.col("least.s").alias("leader"), F.col("least.n").alias("leader_n"), F.col("least.place").alias("leader_place"))
+    return marked.where("not edge").drop("edge").unionByName(across)
 
 
 def _large_enough(a: str, b: str, similarity: float) -> Column:
@@ -117,19 +171,29 @@ def _with_text(pairs: DataFrame, side: str, texts: DataFrame) -> DataFrame:
     return salted.join(mine, [side, "salt"]).drop("salt")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
-    """``(a, b, j)``: the exact similarity of the sets of ``pairs (a, b)``."""
+def _texts(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``(s, body)``: a compressed text of every set of ``pairs``."""
     needed = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
     first = prints.groupBy("s").agg(F.min(F.struct("key one", "key two")).alias("k")).join(needed, "s", "left_semi")
-    bodies = docs.join(first.select("s", "k.key one", "k.key two"), ["key one", "key two"]).select("s", F.col("text").cast("binary").alias("body"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor()
-        for batch in batches:
-            yield batch.set_column(1, "body", pa.array([squeeze.compress(v.as_buffer()) if v.is_valid else None for v in batch.column("body")], pa.binary()))
+        squeeze, seen = zstandard.ZstdCompressor(), set()
+        for batch in slices(batches):
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            some = batch.take(pa.array([i for i, n in enumerate(names) if not (n in seen or seen.add(n))], pa.int64()))
+            if len(seen) > simhash.SEEN:
+                seen.clear()
+            yield some.set_column(2, "body", pa.array([squeeze.compress(v.as_buffer()) if v.is_valid else None for v in some.column(2)], pa.binary()))
+
+    bodies = docs.select("key one", "key two", F.col("text").cast("binary").alias("body"))
+    bodies = bodies.mapInArrow(pack, bodies.schema).join(first.select("s", "k.key one", "k.key two"), ["key one", "key two"])
+    # Rows that repeat id and text may give a text more than once.
+    return stored(bodies.groupBy("s").agg(F.any_value("body").alias("body")))
 
-    # Rows that repeat id and text give a text more than once.
-    texts = stored(bodies.mapInArrow(pack, bodies.schema).groupBy("s").agg(F.any_value("body").alias("body")))
+
+def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """``(a, b, j)``: the exact similarity of the sets of ``pairs (a, b)``."""
+    texts = _texts(pairs, docs, prints)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
@@ -154,20 +218,28 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -
     return out
 
 
-def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, max_distance: int, n_pivots: int) -> DataFrame:
-    """``(fp, component)`` for the sets (as ``fp``) that have a link. ``docs (id, text, key one, key two)``,
-    ``prints (id, key one, key two, s, fp)``: the set and the SimHash of every document."""
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``(a, b)`` of ``pairs (a, b, n_a, n_b, place_a, place_b)``, one row per shingle that is among the first of both, which may be
+    similar by count: beyond these shared ones, a common shingle stands after the last of them in both sets, and after the first
+    shingles of one set."""
+    rest = [F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")]
+    one = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    after = F.least(F.col("n_a") - F.col("last_a") - 1, F.col("n_b") - F.col("last_b") - 1)
+    most = F.col("shared") + F.least(F.greatest(*rest), after)
+    return one.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+
+
+def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
+    """For ``docs (id, text, key one, key two)``: ``(id, key one, key two, s)``, the set of every document, and
+    ``(fp, component)`` for the sets (as ``fp``) that have a link."""
     near = F.col("j") >= similarity - 1e-9
-    rows = stored(_prefix_rows(docs.select("text"), words, similarity))
-    # Most shingles stand once. They are left out by their count alone before the sets that share the others are named.
-    often = rows.groupBy("token").count().where("count > 1").select("token")
-    few = stored(rows.join(often, "token", "left_semi").distinct())
-    removed(rows)
-    shared = few.groupBy("token").agg(F.min(F.struct("s", "n")).alias("least"), F.max("s").alias("most")).where("least.s != most")
-    met = stored(few.join(shared.select("token", F.col("least.s").alias("leader"), F.col("least.n").alias("leader_n")), "token"))
-    removed(few)
-    stars = met.where(F.col("s") != F.col("leader")).where(_large_enough("n", "leader_n", similarity)).select(F.col("leader").alias("a"), F.col("s").alias("b"))
-    sets = prints.select("fp", "s").distinct()
+    prints = stored(_prints(docs, words, similarity))
+    met = stored(_meetings(prints))
+    prints = prints.drop("first", "n")
+    stars = met.where(F.col("s") != F.col("leader")).where(_large_enough("n", "leader_n", similarity))
+    named = {"leader": "a", "s": "b", "leader_n": "n_a", "n": "n_b", "leader_place": "place_a", "place": "place_b"}
+    stars = _possible(stars.select(*[F.col(c).alias(to) for c, to in named.items()]), similarity)
+    sets = stored(prints.select("fp", "s").distinct())
     heads = stored(sets.groupBy("fp").agg(F.min("s").alias("head")))
     same = sets.join(heads, "fp").where("s != head").select(F.col("head").alias("a"), F.col("s").alias("b"))
     links = simhash.links(heads.select("fp"), max_distance, n_pivots)
@@ -175,7 +247,7 @@ def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, m
     across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     first = verified(stored(stars.union(same).union(across).where("a != b").distinct()), docs, prints, words)
 
-    labels = prints.select(F.col("s").alias("fp")).distinct().withColumn("label", F.col("fp"))
+    labels = sets.select(F.col("s").alias("fp")).distinct().withColumn("label", F.col("fp"))
     certain = first.where(near).select("a", "b")
     parts = simhash.components(certain, labels)
     # What is left: pairs that meet in a shingle and lie in different classes so far.
@@ -186,20 +258,21 @@ def classes(docs: DataFrame, prints: DataFrame, words: int, similarity: float, m
     mixed = stored(classed.join(sized.where("kinds > 1").select("token", "main"), "token"))
     removed(met)
     x, y = mixed.where("c != main").alias("x"), mixed.alias("y")
-    overlap = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    # Every shingle of a pair counts here, so only what holds for the whole pair may be asked of a row.
     pairs = x.join(
         y,
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.main")) | (F.col("x.s") < F.col("y.s")))
-        & (F.col("x.s") != F.col("x.leader"))
-        & (F.col("y.s") != F.col("y.leader"))
-        & _large_enough("x.n", "y.n", similarity)
-        & (overlap >= F.lit(similarity / (1 + similarity)) * (F.col("x.n") + F.col("y.n")) - 1e-6)
-        & F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9, F.lit(True)),
+        & _large_enough("x.n", "y.n", similarity),
     )
-    pairs = stored(pairs.select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    apart = F.abs(F.col("x.d") - F.col("y.d")) > 1 - similarity + 1e-9
+    first_is_x = F.col("x.s") < F.col("y.s")
+    sides = [F.when(first_is_x, F.col(f"{l}.{c}")).otherwise(F.col(f"{r}.{c}")).alias(f"{c}_{side}") for side, l, r in (("a", "x", "y"), ("b", "y", "x")) for c in ("s", "n", "place")]
+    pairs = pairs.select(*sides, F.coalesce(apart, F.lit(False)).alias("apart")).withColumnsRenamed({"s_a": "a", "s_b": "b"})
+    discarded = pairs.where("apart").select("a", "b").distinct()
+    pairs = stored(_possible(pairs, similarity).join(discarded, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"))
     removed(mixed)
-    if pairs.isEmpty():
-        return parts
-    return simhash.components(certain.union(verified(pairs, docs, prints, words).where(near).select("a", "b")), labels)
+    if not pairs.isEmpty():
+        parts = simhash.components(certain.union(verified(pairs, docs, prints, words).where(near).select("a", "b")), labels)
+    return prints.drop("fp"), parts

@@ -22,12 +22,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewarden.functions.runtime import materialize
-from tablewarden.llm.common import SPACE, without
+from tablewarden.llm.common import SPACE, joined_apart, slices, stored, without
 
 BITS = 64
 #: Blocks that two linked fingerprints share for certain.
@@ -37,7 +38,11 @@ PIVOT_SEED = 20240501
 
 _WORDS = re.compile(rf"[^{SPACE}]+".encode())
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CHUNK = 1 << 16
+_CHUNK = 1 << 14
+#: Two hashes of id and text that name a document.
+KEYS = ("key one", "key two")
+#: Names of documents or sets that a task remembers.
+SEEN = 200_000
 
 
 def pivots(count: int = PIVOTS, seed: int = PIVOT_SEED) -> list[int]:
@@ -46,6 +51,19 @@ def pivots(count: int = PIVOTS, seed: int = PIVOT_SEED) -> list[int]:
     return [draw.getrandbits(BITS) for _ in range(count)]
 
 
+def ones_per_bit(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, lowest first."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, runs: int) -> int:
+    return int(np.packbits(2 * ones > runs, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """SimHash of one text: XXH64 of each run of ``words`` words, majority per bit, ties to 0.
     Shorter texts are one run; a null text or one without words gives zero."""
@@ -63,9 +81,8 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
     for at in range(0, runs, _CHUNK):
-        h = np.array([digest(plain[a:b], seed) for a, b in zip(firsts[at : at + _CHUNK], lasts[at : at + _CHUNK])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > runs, bitorder="little").view("<u8")[0])
+        ones += ones_per_bit(np.array([digest(plain[a:b], seed) for a, b in zip(firsts[at : at + _CHUNK], lasts[at : at + _CHUNK])], np.uint64))
+    return majority(ones, runs)
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -188,13 +205,13 @@ def near_duplicates(
     smallest id reachable; ids that are null count only when a component has no other (then it is null). Repeated
     rows keep one row each. Other columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    prints = materialize(
+    prints = stored(
         with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", words).drop("text")
     )
-    distinct = materialize(prints.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min("doc_id").alias("label")))
-    parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct)
-    named = distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "label").alias("component_id"))
-    return prints.join(named, F.col("fingerprint_bits") == F.col("fp"), "left").select("doc_id", "fingerprint_bits", "component_id")
+    distinct = stored(prints.groupBy(F.col("fingerprint_bits").alias("fp")).agg(F.min("doc_id").alias("label"), F.count("*").alias("copies")))
+    parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct.drop("copies"))
+    named = distinct.join(parts, "fp", "left").select(F.col("fp").alias("fingerprint_bits"), "copies", F.coalesce("component", "label").alias("component_id"))
+    return joined_apart(prints, named, ["fingerprint_bits"], "copies", prints.count()).select("doc_id", "fingerprint_bits", "component_id")
 
 
 def keep_one(
@@ -212,25 +229,49 @@ def keep_one(
     linked by that Jaccard similarity of their sets of ``words``-word runs, exactly (see ``jaccard``).
     Rows that repeat both id and text are one document. All columns stay; an empty table stays empty.
     """
-    key = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(n) for i, n in enumerate(("key one", "key two"))]
+    key = [F.xxhash64(F.lit(i), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(n) for i, n in enumerate(KEYS)]
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *key)
     if similarity is None:
-        prints = materialize(with_fingerprint(named, "text", words, "fp").drop("text"))
-        distinct = prints.select("fp").distinct().withColumn("label", F.col("fp"))
+        prints = stored(with_fingerprint(named, "text", words, "class").drop("text"))
+        distinct = prints.select(F.col("class").alias("fp")).distinct().withColumn("label", F.col("fp"))
         parts = components(links(distinct.select("fp"), max_distance, n_pivots), distinct)
     else:
         from tablewarden.llm import jaccard
 
-        prints = materialize(jaccard.with_set(with_fingerprint(named, "text", words, "fp"), words).drop("text"))
-        parts = jaccard.classes(named, prints, words, similarity, max_distance, n_pivots)
-        prints = prints.drop("fp").withColumnRenamed("s", "fp")
-    grouped = prints.join(parts, "fp", "left").select("id", "key one", "key two", F.coalesce("component", "fp").alias("group"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key one", "key two")).alias("w")
-    winners = grouped.groupBy("group").agg(first).select("w.key one", "w.key two").distinct()
-    # The join leaves equal keys together, so counting repeated rows moves no text again.
-    kept = docs.select("*", *key).join(winners, ["key one", "key two"], "left_semi")
-    same = Window.partitionBy("key one", "key two").orderBy("key one")
-    return kept.withColumn("copy no", F.row_number().over(same)).where(F.col("copy no") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+        prints, parts = jaccard.classes(named, words, similarity, max_distance, n_pivots)
+        prints = prints.withColumnRenamed("s", "class")
+    # Tasks add up the rows of a class before any of them move.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *KEYS)).alias("w")
+    firsts = prints.groupBy("class").agg(first).join(parts.withColumnRenamed("fp", "class"), "class", "left")
+    winners = firsts.groupBy(F.coalesce("component", "class").alias("group")).agg(F.min("w").alias("w")).select(*[f"w.`{k}`" for k in KEYS]).distinct()
+    return _chosen(docs, key, text_col, winners)
+
+
+def _chosen(docs: DataFrame, key: list[Column], text_col: str, winners: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of the ``winners``. A task hands on a repeated row once, and its text compressed."""
+    body = [F.col(f"`{text_col}`").cast("binary").alias("body")]
+    named = docs.select(*key, *body, F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, seen = zstandard.ZstdCompressor(), set()
+        for batch in slices(batches):
+            names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            fresh = [i for i, n in enumerate(names) if not (n in seen or seen.add(n))]
+            if len(seen) > SEEN:
+                seen.clear()
+            some = batch.take(pa.array(fresh, pa.int64()))
+            yield some.set_column(2, "body", pa.array([pack.compress(v.as_buffer()) if v.is_valid else None for v in some.column(2)], pa.binary()))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for some in slices(batches):
+            yield some.set_column(0, "body", pa.array([unpack.decompress(v.as_buffer()) if v.is_valid else None for v in some.column(0)], pa.binary()))
+
+    met = named.mapInArrow(emit, named.schema).join(winners, list(KEYS), "left_semi")
+    same = Window.partitionBy(*KEYS).orderBy(KEYS[0])
+    once = met.withColumn("copy no", F.row_number().over(same)).where(F.col("copy no") == 1).select("body", "row")
+    out = once.mapInArrow(back, once.schema)
+    return out.select(*[F.col("body").cast("string").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_digits(bits: Column) -> Column:
