@@ -30,6 +30,9 @@ MOST_FREQUENT = 100_000
 #: Pairs of one text that are compared in one task.
 PAIRS_AT_ONCE = 1_000
 
+#: Rounds with other leaders at most, and pairs for each row of a shared shingle that need no further round.
+ROUNDS = 3
+PAIRS_PER_ROW = 4
 #: Shingles of one sorted range.
 ROWS_PER_TASK = 400_000
 
@@ -229,6 +232,36 @@ def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     return one.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
 
 
+def _more_leaders(met: DataFrame, tried: DataFrame, certain: DataFrame, parts: DataFrame, labels: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> tuple[DataFrame, ...]:
+    """Rounds in which the sets outside the main class of a shingle are held against another, random member of it.
+
+    A large group of variants, of which each is near to some of the others only, becomes one class this way without its pairs.
+    Rounds only find links earlier: whatever they leave open is compared afterwards. Returns the verified pairs, the
+    links, the components, the rows of ``met`` with their class ``c``, and ``(token, main, kinds)``.
+    """
+    for turn in range(ROUNDS + 1):
+        classed = met.join(parts.withColumnRenamed("fp", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+        sized = classed.groupBy("token", "c").count().groupBy("token")
+        sized = stored(sized.agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.max("count").alias("mains"), F.sum("count").alias("sets"), F.count("*").alias("kinds")).where("kinds > 1"))
+        work = sized.agg(F.sum((F.col("sets") - F.col("mains")).cast("double") * F.col("sets")), F.sum("sets")).first()
+        if turn == ROUNDS or not work[1] or work[0] <= PAIRS_PER_ROW * work[1]:
+            break
+        known = classed.join(sized.where("mains > 1").select("token", "main"), "token")
+        leads = known.where("c = main").groupBy("token").agg(F.min_by(F.struct("s", "n", "place"), F.xxhash64("s", F.lit(turn))).alias("l"))
+        pairs = known.where("c != main").join(leads, "token").where(_large_enough("n", "l.n", similarity))
+        flip = F.col("s") < F.col("l.s")
+        sides = [F.when(flip, F.col(c)).otherwise(F.col(f"l.{c}")).alias(f"{c}_a") for c in ("s", "n", "place")]
+        sides += [F.when(flip, F.col(f"l.{c}")).otherwise(F.col(c)).alias(f"{c}_b") for c in ("s", "n", "place")]
+        pairs = _possible(pairs.select(*sides).withColumnsRenamed({"s_a": "a", "s_b": "b"}), similarity)
+        new = verified(stored(pairs.join(tried, ["a", "b"], "left_anti")), docs, prints, words)
+        links = new.where(F.col("j") >= similarity - 1e-9).select("a", "b")
+        if links.isEmpty():
+            break
+        tried, certain = stored(tried.unionByName(new)), certain.union(links)
+        parts = simhash.components(certain, labels)
+    return tried, certain, parts, classed, sized
+
+
 def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
     """For ``docs (id, text, key one, key two)``: ``(id, key one, key two, s)``, the set of every document, and
     ``(fp, component)`` for the sets (as ``fp``) that have a link."""
@@ -250,11 +283,10 @@ def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n
     labels = sets.select(F.col("s").alias("fp")).distinct().withColumn("label", F.col("fp"))
     certain = first.where(near).select("a", "b")
     parts = simhash.components(certain, labels)
+    first, certain, parts, classed, sized = _more_leaders(met, first, certain, parts, labels, docs, prints, words, similarity)
     # What is left: pairs that meet in a shingle and lie in different classes so far.
-    classed = met.join(parts.withColumnRenamed("fp", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
     away = first.select(F.col("a").alias("leader"), F.col("b").alias("s"), (1 - F.col("j")).alias("d"))
     classed = classed.join(away, ["leader", "s"], "left").withColumn("d", F.when(F.col("s") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    sized = classed.groupBy("token", "c").count().groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("kinds"))
     mixed = stored(classed.join(sized.where("kinds > 1").select("token", "main"), "token"))
     removed(met)
     x, y = mixed.where("c != main").alias("x"), mixed.alias("y")
