@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog import fixtures as fx
 from catalog.base import query, table
 from catalog.profile_queries import r6
@@ -102,12 +104,43 @@ def dbscan_1d_narrow(spark, sf_dir):
     return found.select("event_id", "dbscan")
 
 
-@query("dbscan_nd")
+THREE = ["event_id", "user_id", "value"]
+
+
+def noise_nd_sql(eps: str, needed: str) -> str:
+    """Noise flag per event over its three standardised columns, by comparing all pairs."""
+    scaled = ", ".join(f"round(({c} - (select avg({c}) from events)) / (select stddev_pop({c}) from events), 9) as z{i}" for i, c in enumerate(THREE))
+    near = " + ".join(f"(x.z{i} - y.z{i}) * (x.z{i} - y.z{i})" for i in range(3)) + f" <= {eps} * {eps}"
+    return f"""
+    z as (select event_id, {scaled} from events),
+    core as materialized (select x.event_id, any_value(x.z0) as z0, any_value(x.z1) as z1, any_value(x.z2) as z2, count(*) >= {needed} as is_core
+             from z x join z y on {near} group by x.event_id),
+    reached as (select distinct x.event_id from core x join core y on not x.is_core and y.is_core and {near}),
+    noise as (select event_id, not is_core and event_id not in (select event_id from reached) as is_noise from core)
+    """
+
+
+@query("dbscan_nd", f"with {noise_nd_sql('0.5::double', NEEDED)} select event_id, cast(is_noise as int) as dbscan from noise")
 def dbscan_nd(spark, sf_dir):
-    found = outliers.density_noise(table(spark, sf_dir, "events"), ["event_id", "user_id", "value"], eps=0.5)
+    found = outliers.density_noise(table(spark, sf_dir, "events"), THREE, eps=0.5)
     return found.select("event_id", "dbscan")
 
 
+@query(
+    "consensus_three_columns",
+    f"with t as (select event_id, user_id, value from events), {noise_nd_sql('3.0::double', NEEDED)},"
+    f" s as (select t.event_id, greatest({', '.join(_z(c) for c in THREE)}) as z_score,"
+    f" greatest({', '.join(_mad(c) for c in THREE)}) as mad_score, is_noise from t join noise using (event_id)),"
+    " v as (select *, cast(z_score > 3 as int) + cast(mad_score > 3.5 as int) + cast(is_noise as int) as vote_count from s)"
+    " select event_id, round(z_score, 8) as z_score, round(mad_score, 8) as mad_score, cast(is_noise as int) as dbscan,"
+    " vote_count, vote_count >= 2 as is_outlier from v",
+)
+def consensus_three_columns(spark, sf_dir):
+    flagged = outliers.flag_outliers(table(spark, sf_dir, "events"), columns=THREE, use_forest=False)
+    # Scores of consecutive ids have seven decimals, so six would round halves.
+    return flagged.select("event_id", F.round("z_score", 8).alias("z_score"), F.round("mad_score", 8).alias("mad_score"), "dbscan", "vote_count", "is_outlier")
+
+
 @query("consensus")
 def consensus(spark, sf_dir):
     df = table(spark, sf_dir, "events")

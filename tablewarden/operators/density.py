@@ -4,26 +4,32 @@ A row is core when at least ``min_samples`` rows (itself included) lie within ``
 it is noise when it is not core and no core row lies within ``eps``. Cluster labels are not
 needed. Values are standardised beforehand.
 
-A cell whose diagonal is ``eps`` and that holds ``min_samples`` rows makes all of its rows
-core. Only the rows outside of such cells are looked at one by one.
+Over one column this is a sweep in value order; over several, pairs of boxes of rows are
+settled as a whole where their distances allow it.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions.runtime import materialize, task_buckets
 
-# Rows of one cell and side that meet in one task.
-PAIR_BLOCK = 2048
-# Columns that coarse cells are laid on.
+# Cells of up to so many columns shrink by the wide factor (a power of two) from level to level, others by 2.
 CELL_COLUMNS = 3
+WIDE_FACTOR = 4
+# Levels of the box tree at most; values carry nine decimals, so deeper cells hold one row.
+MOST_LEVELS = 60
+# Row pairs of a pair of boxes, on average, at which rows are compared.
+PAIR_WORK = 4096
+# Rows of a cell that are held against others at a time.
+LIST_ROWS = 512
 
 
 def noise_1d(points: DataFrame, limits: DataFrame, eps: float) -> DataFrame:
@@ -105,74 +111,125 @@ def weight_within(points: DataFrame, queries: DataFrame, eps: float, edges: list
 
 
 def noise_nd(points: DataFrame, min_samples: int, eps: float) -> DataFrame:
-    """Distinct noise rows of a frame whose columns are all standardised doubles.
-
-    Rows outside dense cells are held against the rows of neighbouring coarse cells only. Both sides of a cell are cut
-    into blocks of bounded size that meet in separate tasks; a task returns counts, never pairs, and no row passes
-    through the driver.
-    """
+    """Distinct noise rows of a frame whose columns are all standardised doubles."""
     names = points.columns
     rows = materialize(points.groupBy(*names).agg(F.count(F.lit(1)).alias("weight")))
-    side = eps / math.sqrt(len(names))
-    cell = [F.floor(F.col(c) / side).alias(f"cell_{c}") for c in names]
-    keys = [f"cell_{c}" for c in names]
-    celled = rows.select(*names, "weight", *cell)
-    dense = celled.groupBy(*keys).agg((F.sum("weight") >= min_samples).alias("dense"))
-    marked = materialize(celled.join(dense, keys).select(*names, "weight", "dense"))
-    queries = marked.where("not dense").select(*names)
-    near = weight_near(marked.select(*names, "weight"), queries, eps)
-    core = materialize(near.where(F.col("weight") >= min_samples).select(*names))
-    sparse = materialize(queries.join(core, names, "left_anti"))
-    all_core = marked.where("dense").select(*names).unionByName(core).withColumn("weight", F.lit(1).cast("bigint"))
-    reached = weight_near(all_core, sparse, eps).select(*names)
-    return sparse.join(reached, names, "left_anti")
-
-
-def weight_near(points: DataFrame, queries: DataFrame, eps: float) -> DataFrame:
-    """Total weight of the ``points (*names, weight)`` within ``eps`` of each query row that has any.
-
-    Coarse cells have side ``eps`` on up to three leading columns, so the points near a query lie in its own cell or
-    one of the 3 to 26 round it.
+    core = materialize(rows_near(rows, rows.select(*names), eps, min_samples))
+    others = materialize(rows.select(*names).join(core, names, "left_anti"))
+    reached = rows_near(core.withColumn("weight", F.lit(1).cast("bigint")), others, eps, 1)
+    return others.join(reached, names, "left_anti")
+
+
+def rows_near(points: DataFrame, queries: DataFrame, eps: float, needed: int, compared: list[int] | None = None) -> DataFrame:
+    """The rows of ``queries`` that have ``points (*names, weight)`` of a total weight of ``needed`` within ``eps``.
+
+    Both sides lie in one tree of boxes: the sides of its cells shrink by a fixed factor from level to level, and a box is what
+    the rows of a cell span. Pairs of boxes are followed from the root. A pair that lies within ``eps`` as a whole adds the
+    weight of the point box to all rows of the query box, one that lies apart ends, any other goes on to its children. A query box ends
+    as soon as its sure weight is enough, or all that is still possible is not. Rows are compared only when the boxes
+    that are still in question are small, so that work follows the border between enough and too few.
+
+    No level, pair or row passes through the driver. ``compared`` gets the number of row pairs that were compared.
     """
     names = queries.columns
-    lead = names[:CELL_COLUMNS]
-    keys = [f"cell_{i}" for i in range(len(lead))]
-    own = [F.floor(F.col(c) / eps).alias(k) for c, k in zip(lead, keys)]
-    here = points.select(*names, "weight", *own)
-    there = queries.select(*names, *own)
-    for k in keys:
-        there = there.withColumn(k, F.explode(F.array(*[F.col(k) + i for i in (-1, 0, 1)])))
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias(name))
-
-    plan = blocks(here, "point_blocks").join(blocks(there, "query_blocks"), keys)
-
-    def spread(df: DataFrame, mine: str, other: str) -> DataFrame:
-        """Rows in one block of their own side, copied to each block of the other side."""
-        out = df.join(plan, keys).withColumn(f"in_{mine}", F.pmod(F.xxhash64(*names), F.col(mine)))
-        return out.withColumn(f"in_{other}", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
-
-    meet = [*keys, "in_point_blocks", "in_query_blocks"]
-    left = spread(here, "point_blocks", "query_blocks").groupBy(*meet)
-    # Names of its own, since both sides may come from one frame.
-    asked_for = spread(there, "query_blocks", "point_blocks").select(*[F.col(c).alias(f"asked {c}") for c in [*names, *meet]])
-    right = asked_for.groupBy(*[f"asked {c}" for c in meet])
-    limit = eps * eps
-
-    def count(near: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        rows, weight = near[names].to_numpy(dtype="float64"), near["weight"].to_numpy() if len(near) else np.zeros(0)
-        asked = asked.rename(columns={f"asked {c}": c for c in names})[names]
-        q = asked.to_numpy(dtype="float64")
-        square = np.zeros((len(q), len(rows)))
-        for d in range(len(names)):
-            gap = q[:, d, None] - rows[None, :, d]
-            square += gap * gap
-        total = ((square <= limit) * weight).sum(axis=1).astype("int64")
-        return asked.assign(weight=total)[total > 0]
+    spans = points.select(*names).unionByName(queries).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).first()
+    low = {c: spans[f"min_{c}"] for c in names}
+    if any(v is None for v in low.values()):
+        return queries.where("false")
+    factor = WIDE_FACTOR if len(names) <= CELL_COLUMNS else 2
+    side = max(max(spans[f"max_{c}"] - low[c] for c in names) * (1 + 1e-12), eps)
+    open_rows = queries.distinct().select(*names, F.lit(0).cast("bigint").alias("sure"), _cell(names, low, side).alias("q"))
+    held = points.select(*names, "weight", _cell(names, low, side).alias("p"))
+    active, enough = None, []
+    for _ in range(MOST_LEVELS):
+        asked = _boxes(open_rows, "q", names, "q", [F.max("sure").alias("sure")])
+        boxes = _boxes(held, "p", names, "p", [F.sum("weight").alias("weight")])
+        if active is None:
+            met = asked.crossJoin(F.broadcast(boxes))  # one cell each
+        else:
+            met = asked.join(active, asked["q_up"] == active["q_active"]).join(boxes, F.col("p_active") == F.col("p_up"))
+        state = F.when(_square(names, True) <= eps * eps, 1).when(_square(names, False) <= eps * eps, 0)
+        met = met.select("q", "p", "sure", "q_rows", "p_rows", "weight", state.alias("within")).where("within is not null")
+        met = materialize(met)
+        known = met.groupBy("q").agg(
+            (F.max("sure") + F.sum(F.when(F.col("within") == 1, F.col("weight")).otherwise(0))).alias("now"),
+            F.sum(F.when(F.col("within") == 0, F.col("weight")).otherwise(0)).alias("possible"),
+        )
+        open_rows = materialize(
+            open_rows.join(known, "q", "left").select(*names, F.coalesce("now", "sure").alias("sure"), F.coalesce("possible", F.lit(0)).alias("possible"), "q")
+        )
+        enough.append(open_rows.where(F.col("sure") >= needed).select(*names))
+        in_question = (F.col("sure") < needed) & (F.col("sure") + F.col("possible") >= needed)
+        open_rows = open_rows.where(in_question).drop("possible")
+        unsettled = known.where((F.col("now") < needed) & (F.col("now") + F.col("possible") >= needed)).select("q")
+        straddling = met.where("within = 0").join(unsettled, "q", "left_semi")
+        pairs, work = straddling.agg(F.count(F.lit(1)), F.sum(F.col("q_rows").cast("double") * F.col("p_rows"))).first()
+        if not pairs or work <= pairs * PAIR_WORK:
+            break
+        active = straddling.select(F.col("q").alias("q_active"), F.col("p").alias("p_active"))
+        side /= factor
+        cell = _cell(names, low, side)
+        open_rows = open_rows.select(*names, "sure", F.col("q").alias("q_up"), cell.alias("q"))
+        held = held.select(*names, "weight", F.col("p").alias("p_up"), cell.alias("p"))
+    if compared is not None:
+        compared.append(int(work or 0))
+    found = reduce(DataFrame.unionByName, enough)
+    if not pairs:
+        return found
+    weight = _compared(open_rows, held, straddling.select("q", "p"), names, eps)
+    rest = open_rows.select(*names, "sure").join(weight, names)
+    return found.unionByName(rest.where(F.col("sure") + F.col("weight") >= needed).select(*names))
+
+
+def _cell(names: list[str], low: dict[str, float], side: float) -> Column:
+    """The cell of a row. Sides of other levels are this one times a power of two, so cells nest exactly."""
+    return F.array(*[F.floor((F.col(c) - F.lit(low[c])) / F.lit(side)) for c in names])
+
+
+def _boxes(rows: DataFrame, key: str, names: list[str], mark: str, more: list[Column]) -> DataFrame:
+    ends = [f(c).alias(f"{mark}_{f.__name__}_{c}") for c in names for f in (F.min, F.max)]
+    up = [f"{key}_up"] if f"{key}_up" in rows.columns else []
+    return rows.groupBy(key, *up).agg(F.count(F.lit(1)).alias(f"{mark}_rows"), *ends, *more)
+
+
+def _square(names: list[str], far: bool) -> Column:
+    """Squared distance between the farthest or nearest places of two boxes, added up like that of two rows: rounding is monotone, so
+    no row pair of the boxes lies beyond it."""
+    total = F.lit(0.0)
+    for c in names:
+        after, before = F.col(f"q_min_{c}") - F.col(f"p_max_{c}"), F.col(f"p_min_{c}") - F.col(f"q_max_{c}")
+        gap = F.greatest(F.abs(after), F.abs(before)) if far else F.greatest(after, before, F.lit(0.0))
+        total = total + gap * gap
+    return total
+
+
+def _compared(open_rows: DataFrame, held: DataFrame, pairs: DataFrame, names: list[str], eps: float) -> DataFrame:
+    """Weight within ``eps`` of each open row among the rows of the point cells that its cell is paired with."""
+
+    def packed(rows: DataFrame, key: str, mark: str, more: list[str]) -> DataFrame:
+        """Rows of a cell in lists of bounded length."""
+        size = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("lists"))
+        cut = rows.join(size, key).withColumn("list", F.pmod(F.xxhash64(*names), F.col("lists")))
+        return cut.groupBy(key, "list").agg(F.collect_list(F.array(*names, *[F.col(m).cast("double") for m in more])).alias(mark)).drop("list")
+
+    both = pairs.join(packed(open_rows, "q", "asked", []), "q").join(packed(held, "p", "near", ["weight"]), "p").select("asked", "near")
+    limit, width = eps * eps, len(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, p = (batch.column(k)[i].values.flatten().to_numpy().reshape(-1, width + k) for k in (0, 1))
+                square = np.zeros((len(q), len(p)))
+                for d in range(width):
+                    gap = q[:, d, None] - p[None, :, d]
+                    square += gap * gap
+                total = (square <= limit) @ p[:, width]
+                hit = total > 0
+                columns = [pa.array(q[hit, d]) for d in range(width)] + [pa.array(total[hit].astype("int64"))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "weight"])
 
     schema = ", ".join(f"`{c}` double" for c in names) + ", weight bigint"
-    return left.cogroup(right).applyInPandas(count, schema).groupBy(*names).agg(F.sum("weight").alias("weight"))
+    return both.mapInArrow(count, schema).groupBy(*names).agg(F.sum("weight").alias("weight"))
 
 
 def standardised(value: Column, mean: float, spread: float) -> Column:

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablewarden.operators import density, outliers
 
@@ -19,8 +20,9 @@ def blobs(seed, n, d):
 
 @pytest.mark.parametrize("eps,needed", [(0.7, 12), (0.3, 30), (3.0, 5)])
 def test_nd_matches_brute_force(spark, eps, needed, monkeypatch):
-    # Small blocks, so that cells are split on both sides.
-    monkeypatch.setattr(density, "PAIR_BLOCK", 20)
+    # Deep trees, and lists that cut the rows of a cell on both sides.
+    monkeypatch.setattr(density, "PAIR_WORK", 20)
+    monkeypatch.setattr(density, "LIST_ROWS", 3)
     z = blobs(3, 300, 3)
     df = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b", "c"]))
     found = {tuple(r) for r in density.noise_nd(df, needed, eps).collect()}
@@ -35,6 +37,27 @@ def test_nd_beyond_the_cell_columns_and_with_repeated_rows(spark):
     assert found == {tuple(r) for r in z[brute_noise(z, 1.5, 8)]}
 
 
+def test_compared_rows_follow_the_border(spark, monkeypatch):
+    monkeypatch.setattr(density, "PAIR_WORK", 64)
+    shares = []
+    for n in (1_000, 4_000, 16_000):
+        z = np.round(np.random.default_rng(n).normal(size=(n, 2)), 9)
+        points = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b"])).withColumn("weight", F.lit(1).cast("bigint"))
+        compared = []
+        found = density.rows_near(points, points.drop("weight"), 0.5, n // 100, compared).count()
+        near = np.array([((z - q) ** 2).sum(axis=1) <= 0.25 for q in z]).sum(axis=1) >= n // 100
+        assert found == near.sum()
+        shares.append(compared[0] / n**2)
+    assert max(shares) < 0.01
+
+
+def test_nd_of_no_rows_and_of_one_value(spark):
+    none = spark.createDataFrame([], "a double, b double")
+    assert density.noise_nd(none, 5, 1.0).count() == 0
+    same = spark.createDataFrame([(1.0, 2.0)] * 4, "a double, b double")
+    assert density.noise_nd(same, 5, 1.0).count() == 1 and density.noise_nd(same, 4, 1.0).count() == 0
+
+
 @pytest.mark.parametrize("eps,needed", [(0.05, 5), (0.5, 20), (3.0, 8)])
 def test_1d_matches_brute_force(spark, eps, needed):
     z = blobs(5, 300, 1)
