@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +16,11 @@ from tablewarden.functions.columns import (
 )
 from tablewarden.functions.runtime import together
 from tablewarden.functions.stats import correlation_from_sums, pair_sums, ratio
+from tablewarden.operators.gram import SUMS, pair_sums_of_all
 from tablewarden.operators.quantiles import exact_quantiles, iqr_fences
 from tablewarden.operators.values import distinct_estimates, value_counts
 
+# Pairs of columns that are spelled out as aggregates of one pass; more become a matrix.
 PAIRS_PER_PASS = 300
 
 
@@ -155,7 +155,8 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
     One pass finds each column's mean and spread; the next adds up products of the centred
     values. A pair of complete columns costs one sum, a pair with gaps six over its common
-    rows. Passes move one row per task.
+    rows. Passes move one row per task. Many pairs are added up as blocks of a matrix instead,
+    in one pass as well.
     """
     df = normalize_missing(df)
     spark = df.sparkSession
@@ -173,29 +174,32 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     centred = df.select(
         *[(double_of(df, c) - F.lit(seen[f"m{i}"] or 0.0)).alias(f"v{i}") for i, c in enumerate(names)]
     )
-    parts = []
-    for part in chunks(pairs, PAIRS_PER_PASS):
-        aggs, values = [], []
-        for i, j in part:
-            x, y = F.col(f"v{i}"), F.col(f"v{j}")
-            if seen[f"n{i}"] == rows and seen[f"n{j}"] == rows:
-                aggs.append(F.sum(x * y).alias(f"p{i}_{j}"))
-                spread = rows * (seen[f"s{i}"] or 0.0) * (seen[f"s{j}"] or 0.0)
-                values.append(F.try_divide(F.col(f"p{i}_{j}"), F.lit(float(spread))))
-            else:
-                names_of = pair_sums(x, y, f"{i}_{j}", aggs)
-                values.append(correlation_from_sums(*names_of))
-        out = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("left"),
-                    F.lit(names[j]).alias("right"), r.alias("corr"),
-                )
-                for (i, j), r in zip(part, values)
-            ]
+    if len(pairs) > PAIRS_PER_PASS:
+        sums = pair_sums_of_all(centred)
+        label = F.array(*[F.lit(c) for c in names])
+        return sums.select(
+            "i", "j", F.element_at(label, F.col("i") + 1).alias("left"), F.element_at(label, F.col("j") + 1).alias("right"),
+            correlation_from_sums(*[F.col(c) for c in SUMS]).alias("corr"),
         )
-        parts.append(centred.agg(*aggs).select(F.inline(out)))
-    return reduce(DataFrame.unionByName, parts)
+    aggs, values = [], []
+    for i, j in pairs:
+        x, y = F.col(f"v{i}"), F.col(f"v{j}")
+        if seen[f"n{i}"] == rows and seen[f"n{j}"] == rows:
+            aggs.append(F.sum(x * y).alias(f"p{i}_{j}"))
+            spread = rows * (seen[f"s{i}"] or 0.0) * (seen[f"s{j}"] or 0.0)
+            values.append(F.try_divide(F.col(f"p{i}_{j}"), F.lit(float(spread))))
+        else:
+            values.append(correlation_from_sums(*pair_sums(x, y, f"{i}_{j}", aggs)))
+    out = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("left"),
+                F.lit(names[j]).alias("right"), r.alias("corr"),
+            )
+            for (i, j), r in zip(pairs, values)
+        ]
+    )
+    return centred.agg(*aggs).select(F.inline(out))
 
 
 def correlation_matrix(df: DataFrame) -> DataFrame:
