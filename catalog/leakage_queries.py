@@ -79,33 +79,44 @@ MI_COLUMNS = ["l_extendedprice", "l_extendedprice * 2 as leak", "l_quantity", "l
             f"({mi_sql(c, x, decile_sql('l_extendedprice'))})"
             for c, x in (
                 ("leak", decile_sql("leak")),
-                ("l_quantity", "cast(l_quantity as varchar)"),
+                ("l_quantity", decile_sql("l_quantity")),
                 ("l_returnflag", "l_returnflag"),
+                ("wide", decile_sql("wide")),
             )
         ),
     ),
 )
 def leak_mi_reg(spark, sf_dir):
-    df = fx.derived(spark, sf_dir, "lineitem", MI_COLUMNS).drop("wide")
+    df = fx.derived(spark, sf_dir, "lineitem", MI_COLUMNS)
     return leakage.numeric_information(df, "l_extendedprice").select("feature", r6("mutual_information"))
 
 
-def class_power_sql(c: str) -> str:
+def class_form_sql(c: str, x: str) -> str:
     return f"""
     select {feature(c)}, round(avg(cast(y = coalesce(best, (select y from t2 where not held and x is not null
         group by y order by count(*) desc, y limit 1)) as double)), 6) as predictive_power
     from (select y, x from t2 where held and x is not null) q left join
       (select x, y as best from (select x, y, row_number() over (partition by x order by count(*) desc, y) as r
         from t2 where not held and x is not null group by x, y) g where r = 1) b using (x)
-    """.replace("t2", f"(select l_linestatus as y, {c} as x, held from t)")
+    """.replace("t2", f"(select l_linestatus as y, {x} as x, held from t)")
+
+
+def better_sql(form, c: str, *forms: str) -> str:
+    """The better form of a feature."""
+    each = " union all ".join(f"({form(c, x)})" for x in forms)
+    return f"select feature, max(predictive_power) as predictive_power from ({each}) f group by feature"
+
+
+def class_power_sql(c: str) -> str:
+    return better_sql(class_form_sql, c, *([c] if c == "l_returnflag" else [c, decile_sql(c)]))
 
 
 @query(
     "leak_power",
-    with_input(CLASS_SQL, union_all(class_power_sql, ["l_returnflag", "l_linenumber", "l_quantity"])),
+    with_input(CLASS_SQL, union_all(class_power_sql, ["l_returnflag", "l_linenumber", "l_quantity", "l_suppkey"])),
 )
 def leak_power(spark, sf_dir):
-    df = fx.derived(spark, sf_dir, "lineitem", [c for c in CLASS_COLUMNS if c != "l_suppkey"])
+    df = fx.derived(spark, sf_dir, "lineitem", CLASS_COLUMNS)
     found = leakage.class_power(df, "l_linestatus", F.col("held"))
     return found.where("feature <> 'held'").select("feature", r6("predictive_power"))
 
@@ -130,8 +141,12 @@ POWER_COLUMNS = [
     with_input(
         fx.sql_from(POWER_COLUMNS, "lineitem"),
         " union all ".join(
-            f"({numeric_power_sql(c, x)})"
-            for c, x in (("leak", decile_sql("leak")), ("l_quantity", "l_quantity"), ("l_returnflag", "l_returnflag"))
+            f"({better_sql(numeric_power_sql, c, *forms)})"
+            for c, forms in (
+                ("leak", ("leak", decile_sql("leak"))),
+                ("l_quantity", ("l_quantity", decile_sql("l_quantity"))),
+                ("l_returnflag", ("l_returnflag",)),
+            )
         ),
     ),
 )

@@ -17,10 +17,8 @@ from tablewarden.functions.runtime import materialize, together
 from tablewarden.functions.stats import n_log_n, pair_correlation, ratio
 from tablewarden.operators.profile import one_row_per_column
 from tablewarden.operators.quantiles import exact_quantiles
-from tablewarden.operators.values import distinct_estimates
 
 MIN_PAIRS = 30
-MAX_LEVELS = 100
 BINS = 10
 # Categories by rising priority.
 CATEGORIES = ["NORMAL_FEATURE", "STRONG_PREDICTOR", "HIGH_RISK_PROXY", "CONFIRMED_LEAKAGE"]
@@ -62,11 +60,13 @@ def _inner_deciles(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
     return {c: sorted({e for e in edges if e is not None}) for c, edges in found.items()}
 
 
+#: Marks the decile form of a number beside its values.
+DECILES = "\x01"
+
+
 def binned_features(df: DataFrame, names: list[str]) -> dict[str, Column]:
-    """Text form of each feature: its value, or its decile if it is a number of many values."""
-    numbers = [c for c in names if is_numeric(df, c)]
-    _, estimates = distinct_estimates(df, numbers) if numbers else (0, {})
-    edges = _inner_deciles(df, [c for c in numbers if estimates[c][1] > MAX_LEVELS])
+    """Text form of each feature: the decile of a number, the value of any other."""
+    edges = _inner_deciles(df, [c for c in names if is_numeric(df, c)])
     return {
         c: F.when(as_double(c).isNotNull(), decile_bin(as_double(c), edges[c]).cast("string"))
         if c in edges
@@ -75,6 +75,18 @@ def binned_features(df: DataFrame, names: list[str]) -> dict[str, Column]:
     }
 
 
+def value_and_decile(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Every feature by its values, and numbers by their deciles too (named with a mark)."""
+    binned = binned_features(df, [c for c in names if is_numeric(df, c)])
+    return {c: col(c).cast("string") for c in names} | {DECILES + c: x for c, x in binned.items()}
+
+
+def best_form(powers: DataFrame) -> DataFrame:
+    """The power of the better form of each feature."""
+    name = F.regexp_replace("feature", f"^{DECILES}", "").alias("feature")
+    return powers.groupBy(name).agg(F.max("predictive_power").alias("predictive_power"))
+
+
 def contingency(
     df: DataFrame, target: str, x: dict[str, Column], y: Column, sums: dict[str, Column] | None = None
 ) -> DataFrame:
@@ -124,7 +136,7 @@ def class_information(df: DataFrame, target: str) -> DataFrame:
 
 
 def numeric_information(df: DataFrame, target: str) -> DataFrame:
-    """Mutual information of feature levels or deciles with the deciles of a numeric target."""
+    """Mutual information of the deciles of numbers and the values of other features with the deciles of a numeric target."""
     df = normalize_missing(df)
     x, edges = together(
         lambda: binned_features(df, features_of(df, target)), lambda: _inner_deciles(df, [target])
@@ -141,10 +153,11 @@ def held_out(df: DataFrame, row_key: str | None = None) -> Column:
 
 def class_power(df: DataFrame, target: str, test: Column | None = None) -> DataFrame:
     """``feature, predictive_power``: held-out accuracy of predicting each value's most
-    frequent training class; unseen values get the overall one."""
+    frequent training class; unseen values get the overall one. A number counts by its
+    values or its deciles, whichever predict better."""
     df = normalize_missing(df)
     test = held_out(df) if test is None else test
-    x = binned_features(df, features_of(df, target))
+    x = value_and_decile(df, features_of(df, target))
     train_row, test_row = F.when(test, 0).otherwise(1), F.when(test, 1).otherwise(0)
     table = contingency(df, target, x, col(target).cast("string"), {"train": train_row, "test": test_row})
     best = F.min(F.struct((-F.col("train")).alias("order"), "y"))
@@ -168,17 +181,20 @@ def class_power(df: DataFrame, target: str, test: Column | None = None) -> DataF
         .agg(F.sum(F.when(F.col("y") == F.col("fallback"), F.col("test"))).alias("extra"))
     )
     right = F.coalesce("right", F.lit(0)) + F.coalesce("extra", F.lit(0))
-    return seen.join(unseen, "feature", "left").select(
-        "feature", F.coalesce(ratio(right, F.col("tested")), F.lit(0.0)).alias("predictive_power")
+    return best_form(
+        seen.join(unseen, "feature", "left").select(
+            "feature", F.coalesce(ratio(right, F.col("tested")), F.lit(0.0)).alias("predictive_power")
+        )
     )
 
 
 def numeric_power(df: DataFrame, target: str, test: Column | None = None) -> DataFrame:
     """``feature, predictive_power``: 1 − RMSE / spread on held-out rows of predicting each
-    value's training mean, at least 0; unseen values get the overall mean."""
+    value's training mean, at least 0; unseen values get the overall mean. A number counts by
+    its values or its deciles, whichever predict better."""
     df = normalize_missing(df)
     test = held_out(df) if test is None else test
-    x = binned_features(df, features_of(df, target))
+    x = value_and_decile(df, features_of(df, target))
     center = df.agg(F.avg(as_double(target))).first()[0]
     y = as_double(target) - F.lit(center)
     zero = F.lit(0.0)
@@ -205,7 +221,7 @@ def numeric_power(df: DataFrame, target: str, test: Column | None = None) -> Dat
     rmse = F.sqrt(F.greatest(F.try_divide(F.col("sse"), n), zero))
     spread = F.sqrt(F.greatest(F.try_divide(F.col("syy"), n) - F.pow(F.try_divide(F.col("sy"), n), 2), zero))
     power = F.greatest(zero, 1 - rmse / F.greatest(spread, F.lit(1e-6)))
-    return totals.select("feature", F.coalesce(power, zero).alias("predictive_power"))
+    return best_form(totals.select("feature", F.coalesce(power, zero).alias("predictive_power")))
 
 
 def score_signals(signals: DataFrame) -> DataFrame:

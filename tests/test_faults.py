@@ -1,8 +1,9 @@
 """Cases that once gave wrong answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.operators import checks, cleaning, forest, identifiers, models
+from tablewarden.operators import checks, cleaning, forest, identifiers, leakage, models
 
 
 def test_sequential_ids_beyond_double_precision(spark):
@@ -51,3 +52,14 @@ def test_oversampling_remainder_is_drawn_from_all_rows(spark):
     df = spark.range(3000).selectExpr("id", "if(id < 1000, 'b', 'a') as k").coalesce(1)
     twice = cleaning.fix_imbalance(df.where("id < 2500"), "k").where("k = 'b'").groupBy("id").count().where("count = 2")
     assert twice.count() == 500 and twice.where("id < 500").count() < 350
+
+
+@pytest.mark.parametrize("levels", [95, 120, 400])
+def test_an_exact_leak_is_seen_whatever_its_levels(spark, levels):
+    rows = spark.range(40 * levels).select((F.col("id") % levels).alias("x"), (F.col("id") % levels * 7919 % levels).cast("double").alias("y"), F.rand(3).alias("noise"))
+    rows = rows.withColumn("held", F.rand(5) < 0.3)
+    found = {r[0]: r[1] for r in leakage.numeric_power(rows, "y", F.col("held")).collect()}
+    assert found["x"] > 0.999 and found["noise"] < 0.1
+    by_class = rows.withColumn("y", F.concat(F.lit("c"), F.col("y").cast("int")))
+    found = {r[0]: r[1] for r in leakage.class_power(by_class, "y", F.col("held")).collect()}
+    assert found["x"] == 1.0 and found["noise"] < 0.5
