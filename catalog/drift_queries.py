@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from catalog import fixtures as fx
-from catalog.base import query
+from catalog.base import query, table
 from catalog.profile_queries import r6
 from catalog.sqltext import EVENTS_NUMERIC, named, union_all
 from tablewarden.operators import drift, eda
@@ -55,6 +55,41 @@ def drift_psi_hist(spark, sf_dir):
     return drift.psi_against_histograms(current, stored).select("column", r6("psi"), "severity")
 
 
+def _window_psi_sql(c: str) -> str:
+    return f"""
+    select w as window_start, w + interval 6 hour as window_end, {named(c)},
+      sum((test - train) * ln(test / train)) as psi
+    from (
+      select w, case when n_r = 0 then 1e-4 else n_r * 1.0e0 / sum(n_r) over (partition by w) end as train,
+        case when n_c = 0 then 1e-4 else n_c * 1.0e0 / sum(n_c) over (partition by w) end as test
+      from (
+        select x.w, b.bin, n_r, coalesce(n_c, 0) as n_c
+        from (select b.bin, count(r.{c}) as n_r from ({_edges10(c)}) b left join r
+                on {_in_bin("r." + c, 'bin = 9')} group by b.bin) b
+        cross join (select distinct w from c where {c} between (select min({c}) from r) and (select max({c}) from r)) x
+        left join (select w, bin, count(*) as n_c from c join ({_edges10(c)}) b
+                on {_in_bin("c." + c, 'bin = 9')} group by w, bin) t on t.w = x.w and t.bin = b.bin) n) s
+    group by w
+    """
+
+
+@query(
+    "drift_psi_windowed",
+    f"""with r as ({fx.SPLIT_REFERENCE_SQL}),
+    c as (select event_id, user_id, value, time_bucket(interval 6 hour, ts) as w from events
+          where not (ts < {fx.SPLIT_AT}))
+    select window_start, window_end, "column", round(psi, 6) as psi,
+      case when psi > 0.2 then 'HIGH' else 'MEDIUM' end as severity
+    from ({union_all(_window_psi_sql, EVENTS_NUMERIC)}) p where psi > 0.1""",
+)
+def drift_psi_windowed(spark, sf_dir):
+    reference, _ = fx.events_split(spark, sf_dir)
+    stored = eda.histogram_arrays(eda.histogram(reference))
+    current = table(spark, sf_dir, "events").where(f"not (ts < {fx.SPLIT_AT})")
+    found = drift.psi_per_window(current.select("ts", *EVENTS_NUMERIC), stored, "ts", "6 hours")
+    return found.select("window_start", "window_end", "column", r6("psi"), "severity")
+
+
 def psi_quantile_sql(c: str) -> str:
     probs = ", ".join(str(i / 10) for i in range(11))
     return f"""
@@ -145,10 +180,30 @@ def report_sql(inputs: str) -> str:
     kl = union_all(kl_sql, EVENTS_NUMERIC)
     far = union_all(distance_sql, EVENTS_NUMERIC)
     return f"""
-    with {inputs}, far as ({far}), p as (
-      select *, case when lam < 0.2 then 1.0 else least(1.0, greatest(0.0,
-        list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 2.0e0 else -2.0e0 end)
-          * exp(-2.0e0 * k * k * lam * lam))))) end as ks_pvalue
+    with recursive {inputs}, far as materialized ({far}),
+    -- One row per column and step: the chance of each i inside the limit after t values. Chances
+    -- that round to 0 by the exponential bound are not walked.
+    lattice as (
+      select "column", n, m, n + m as k, round(ks_statistic * n * m)::bigint as h, 0::bigint as t,
+        0::bigint as lo, [1.0e0] as a
+      from far where greatest(n, m) <= 10000 and ks_statistic > 0
+        and 2.2 * exp(-2.0e0 * n * m / (n + m) * ks_statistic * ks_statistic) > 1e-9
+      union all
+      select "column", n, m, k, h, t + 1, lo1, list_transform(range(lo1, hi1 + 1),
+        lambda i: coalesce(a[i - lo + 1], 0) * (m - t + i) / (k - t) + coalesce(a[i - lo], 0) * (n - i + 1) / (k - t))
+      from (select *,
+              greatest(floor(((t + 1) * n - h) * 1.0e0 / k)::bigint + 1, 0, lo) as lo1,
+              least(floor(((t + 1) * n + h - 1) * 1.0e0 / k)::bigint, n, t + 1) as hi1
+            from lattice where t < k) s),
+    p as (
+      select *, case
+        when ks_statistic = 0 then 1.0
+        when greatest(n, m) <= 10000 then coalesce(
+          (select 1.0e0 - coalesce(list_sum(a), 0) from lattice x where x."column" = l."column" and x.t = x.k), 0)
+        when lam < 0.2 then 1.0
+        else least(1.0, greatest(0.0,
+          list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 2.0e0 else -2.0e0 end)
+            * exp(-2.0e0 * k * k * lam * lam))))) end as ks_pvalue
       from (select *, {LAMBDA} as lam from far) l),
     v as (select p."column", psi, kl_divergence, wasserstein, ks_statistic, ks_pvalue,
             psi >= 0.1 or ks_pvalue < 0.05 as drift_detected

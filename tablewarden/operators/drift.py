@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablewarden.functions.columns import as_double, normalize_missing, numeric_columns
+from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns
 from tablewarden.functions.runtime import together
 from tablewarden.functions.stats import clamp, ratio
-from tablewarden.operators.eda import binned_counts, equal_width_edges, ranges_of
+from tablewarden.operators.eda import bin_index, binned_counts, equal_width_edges, ranges_of
 from tablewarden.operators.ordered import melt_with_range, range_edges, running_sums
 from tablewarden.operators.quantiles import exact_quantiles
 from tablewarden.operators.values import missing_counts
@@ -16,6 +19,8 @@ from tablewarden.operators.values import missing_counts
 SHARE_FLOOR = 1e-4
 DENSITY_FLOOR = 1e-10
 SERIES_TERMS = 100
+# Largest sample for which the KS p-value is counted exactly; beyond it the series is used.
+EXACT_KS = 10_000
 DRIFT_SCHEMA = (
     "column string, psi double, kl_divergence double, wasserstein double, ks_statistic double,"
     " ks_pvalue double, drift_detected boolean, severity string"
@@ -26,6 +31,16 @@ def _psi_term(train: Column, test: Column) -> Column:
     return (test - train) * F.ln(test / train)
 
 
+def _usable_histograms(df: DataFrame, histograms: DataFrame) -> dict[str, tuple[list, list]]:
+    """Edges and counts of the numeric columns of ``df``; one row per column of the training table."""
+    numeric = set(numeric_columns(df))
+    return {
+        r["column"]: (list(r["bin_edges"]), list(r["counts"]))
+        for r in histograms.collect()
+        if r["column"] in numeric and r["bin_edges"] and sum(r["counts"] or []) > 0
+    }
+
+
 def psi_against_histograms(
     df: DataFrame, histograms: DataFrame, report_above: float = 0.1, high_above: float = 0.2
 ) -> DataFrame:
@@ -35,13 +50,7 @@ def psi_against_histograms(
     above the report mark come back as ``column, psi, severity``.
     """
     df = normalize_missing(df)
-    numeric = set(numeric_columns(df))
-    # One row per column of the training table.
-    stored = {
-        r["column"]: (list(r["bin_edges"]), list(r["counts"]))
-        for r in histograms.collect()
-        if r["column"] in numeric and r["bin_edges"] and sum(r["counts"] or []) > 0
-    }
+    stored = _usable_histograms(df, histograms)
     schema = "column string, psi double, severity string"
     if not stored:
         return df.sparkSession.createDataFrame([], schema)
@@ -74,6 +83,61 @@ def _verdict_on_shares(
     )
 
 
+def psi_per_window(
+    df: DataFrame,
+    histograms: DataFrame,
+    time: str,
+    width: str,
+    late: str | None = None,
+    report_above: float = 0.1,
+    high_above: float = 0.2,
+) -> DataFrame:
+    """``window_start, window_end, column, psi, severity`` of each event-time window that drifted.
+
+    Works on a table and on a stream; on a stream ``late`` is how long rows may lag behind the
+    newest one before their window closes. Rows without a time belong to no window. Values
+    outside the stored edges are left out, and windows without a value inside them as well.
+    """
+    df = normalize_missing(df)
+    spark = df.sparkSession
+    stored = _usable_histograms(df, histograms)
+    if late is not None:
+        df = df.withWatermark(time, late)
+    cells = [
+        F.struct(F.lit(c).alias("column"), bin_index(as_double(c), edges).alias("bin"))
+        for c, (edges, _) in stored.items()
+    ] or [F.struct(F.lit("").alias("column"), F.lit(None).cast("int").alias("bin"))]
+    bins = max((len(counts) for _, counts in stored.values()), default=1)
+    counted = (
+        df.select(F.window(col(time), width).alias("window"), F.explode(F.array(*cells)).alias("cell"))
+        .where("cell.bin is not null")
+        .groupBy("window", F.col("cell.column").alias("column"))
+        .agg(*[F.count_if(F.col("cell.bin") == b).alias(f"n{b}") for b in range(bins)])
+        .select("window", "column", F.array(*[f"n{b}" for b in range(bins)]).alias("counts"))
+    )
+    shares = [(c, [n / sum(ns) if n else SHARE_FLOOR for n in ns]) for c, (_, ns) in stored.items()]
+    train = spark.createDataFrame(shares, "column string, train array<double>")
+    total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, n: s + n)
+    test = F.transform(
+        F.slice("counts", 1, F.size("train")),
+        lambda n: F.when(n == 0, F.lit(SHARE_FLOOR)).otherwise(n / F.col("total")),
+    )
+    psi = F.aggregate(F.zip_with("train", test, _psi_term), F.lit(0.0), lambda s, term: s + term)
+    return (
+        counted.join(F.broadcast(train), "column")  # one row per column
+        .withColumn("total", total)
+        .withColumn("psi", psi)
+        .where(F.col("psi") > report_above)
+        .select(
+            F.col("window.start").alias("window_start"),
+            F.col("window.end").alias("window_end"),
+            "column",
+            "psi",
+            F.when(F.col("psi") > high_above, "HIGH").otherwise("MEDIUM").alias("severity"),
+        )
+    )
+
+
 def common_numeric_columns(reference: DataFrame, current: DataFrame) -> list[str]:
     """Numeric columns of both tables with values on both sides, in reference order."""
     shared = [c for c in numeric_columns(reference) if c in set(numeric_columns(current))]
@@ -205,7 +269,44 @@ def distribution_distances(
     )
 
 
-def ks_pvalue(statistic: Column, ref_count: Column, cur_count: Column) -> Column:
+def stray_probability(n: int, m: int, gap: int) -> float:
+    """Chance that a random order of ``n`` and ``m`` values ever has ``|i m - j n| >= gap`` after
+    ``i`` of the one and ``j`` of the other.
+
+    Orders are drawn value by value: the mass of each ``i`` moves on by the shares of values
+    left, and what crosses the limit is added up and taken out. All terms are positive, so small
+    chances are exact to rounding too. Work is the sum of the live positions over all steps.
+    """
+    if gap <= 0:
+        return 1.0
+    rows = n + m
+    mass, low, strayed = np.ones(1), 0, 0.0
+    for t in range(rows):
+        i = np.arange(low, low + len(mass))
+        moved = np.zeros(len(mass) + 1)
+        moved[1:] = mass * ((n - i) / (rows - t))
+        moved[:-1] += mass * ((m - t + i) / (rows - t))
+        here = (t + 1) * n
+        first = max((here - gap) // rows + 1, 0)
+        last = min((here + gap - 1) // rows, n)
+        start = min(max(first - low, 0), len(moved))
+        stop = min(max(last - low + 1, start), len(moved))
+        strayed += moved[:start].sum() + moved[stop:].sum()
+        mass, low = moved[start:stop], low + start
+        if not len(mass):
+            break
+    return float(min(1.0, strayed))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_pvalues(gap: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    rows = zip(gap, n, m)
+    return pd.Series(
+        [None if pd.isna(g) else stray_probability(int(a), int(b), int(g)) for g, a, b in rows], dtype="float64"
+    )
+
+
+def ks_series(statistic: Column, ref_count: Column, cur_count: Column) -> Column:
     """Two-sided p-value of the KS statistic by the asymptotic Kolmogorov series."""
     n, m = ref_count.cast("double"), cur_count.cast("double")
     root = F.sqrt(F.try_divide(n * m, n + m))
@@ -219,6 +320,16 @@ def ks_pvalue(statistic: Column, ref_count: Column, cur_count: Column) -> Column
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(clamp(series, 0.0, 1.0))
 
 
+def ks_pvalue(statistic: Column, ref_count: Column, cur_count: Column) -> Column:
+    """Two-sided p-value of the KS statistic: exact if both samples have at most 10,000 values,
+    else by the series. The exact count runs once per row, so give it a row per column."""
+    n, m = ref_count.cast("double"), cur_count.cast("double")
+    small = (n <= EXACT_KS) & (m <= EXACT_KS) & (n > 0) & (m > 0)
+    # The statistic is a whole number of steps of 1 / (n m).
+    exact = _exact_pvalues(F.when(small, F.round(statistic * n * m)), n, m)
+    return F.when(small, exact).otherwise(ks_series(statistic, ref_count, cur_count))
+
+
 def with_verdict(metrics: DataFrame, psi_threshold: float = 0.1, ks_alpha: float = 0.05) -> DataFrame:
     """Add ``drift_detected`` and ``severity`` to rows with ``psi`` and ``ks_pvalue``."""
     psi, p = F.col("psi"), F.col("ks_pvalue")
@@ -247,6 +358,7 @@ def drift_report(
     metrics = (
         psi.join(kl, "column")
         .join(distances, "column")
+        .repartition(min(len(names), reference.sparkSession.sparkContext.defaultParallelism), "column")
         .withColumn("ks_pvalue", ks_pvalue(F.col("ks_statistic"), F.col("ref_count"), F.col("cur_count")))
     )
     return with_verdict(metrics, psi_threshold, ks_alpha).select(
