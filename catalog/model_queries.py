@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.base import query, table
 from catalog.profile_queries import r6
 from catalog.sqltext import ORDER, named, numeric_of, union_all, with_input
+from tablewarden.functions.rows import with_partners
 from tablewarden.operators import importance, impact, models, shap
 from tablewarden.operators.checks import detect_issues
 
@@ -42,6 +43,25 @@ def planted(spark, sf_dir):
     )
 
 
+@query(
+    "permutation_partners",
+    """select rep as "repeat", count(*) as row_count, count(*) as partners, sum(l_partkey)::bigint as own_sum,
+      sum(l_partkey)::bigint as partner_sum, true as mixed
+    from lineitem, (select unnest(range(3)) as rep) r group by rep""",
+)
+def permutation_partners(spark, sf_dir):
+    """Partners of the shuffle behind permutation importance: each row once, far from its own place."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice")
+    paired = with_partners(rows, 3, models.SEED)
+    return paired.groupBy("repeat").agg(
+        F.count("*").alias("row_count"),
+        F.count_distinct("row").alias("partners"),
+        F.sum("own.l_partkey").alias("own_sum"),
+        F.sum("partner.l_partkey").alias("partner_sum"),
+        (F.abs(F.corr("own.l_partkey", "partner.l_partkey")) < 0.1).alias("mixed"),
+    )
+
+
 @query("baseline_cv")
 def baseline_cv(spark, sf_dir):
     return models.baseline_metrics(table(spark, sf_dir, "events").drop("props"), "event_type", row_key="event_id")

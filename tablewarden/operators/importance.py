@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns
+from tablewarden.functions.rows import with_partners
 from tablewarden.functions.runtime import materialize, together
 from tablewarden.operators.models import (
     SEED,
@@ -73,11 +74,11 @@ def ablation(ready: Assembled, train: DataFrame, test: DataFrame) -> tuple[dict[
 
 
 def permutation(ready: Assembled, model, test: DataFrame, repeats: int = REPEATS) -> dict[str, float]:
-    """Mean loss of test score when a feature's values are shuffled, at least 0.
+    """Mean loss of test score when a feature's values are shuffled over all test rows, at least 0.
 
-    The test rows are stored in random order, so shuffling within an Arrow batch mixes a
-    random block of rows. All features and repeats are scored in one pass; tasks return
-    one row per feature and repeat.
+    Each row meets ``repeats`` partners from anywhere in the table by one join and takes one
+    feature at a time from them. All features and repeats are scored in one pass; tasks return
+    one row per feature.
     """
     is_class = ready.problem == "classification"
     spark = test.sparkSession
@@ -85,11 +86,13 @@ def permutation(ready: Assembled, model, test: DataFrame, repeats: int = REPEATS
     width = len(ready.features)
 
     def losses(batches):
-        rng = np.random.default_rng(SEED)
-        total = np.zeros((width + 1, repeats))
+        total = np.zeros(width + 1)
         n = sy = syy = 0.0
         for batch in batches:
+            if not len(batch):
+                continue
             rows = np.stack(batch["features"].to_list())
+            others = np.stack(batch["others"].to_list())
             y = batch["label"].to_numpy("float64")
 
             def loss(x):
@@ -99,17 +102,15 @@ def permutation(ready: Assembled, model, test: DataFrame, repeats: int = REPEATS
             n, sy, syy = n + len(y), sy + y.sum(), syy + (y * y).sum()
             total[width] += loss(rows)
             for j in range(width):
-                for r in range(repeats):
-                    mixed = rows.copy()
-                    mixed[:, j] = rng.permutation(mixed[:, j])
-                    total[j, r] += loss(mixed)
+                mixed = rows.copy()
+                mixed[:, j] = others[:, j]
+                total[j] += loss(mixed)
         index = np.arange(width + 1)
-        yield pd.DataFrame(
-            {"feature": index, "loss": total.mean(axis=1), "n": n, "sy": sy, "syy": syy}
-        )
+        yield pd.DataFrame({"feature": index, "loss": total, "n": n, "sy": sy, "syy": syy})
 
+    paired = with_partners(test.select(vector_to_array("features").alias("features"), "label"), repeats, SEED)
     rows = (
-        test.select(vector_to_array("features").alias("features"), "label")
+        paired.select("own.features", "own.label", F.col("partner.features").alias("others"))
         .mapInPandas(losses, "feature int, loss double, n double, sy double, syy double")
         .groupBy("feature")
         .agg(*[F.sum(c).alias(c) for c in ("loss", "n", "sy", "syy")])
