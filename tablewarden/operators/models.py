@@ -25,6 +25,7 @@ from tablewarden.functions.columns import (
 )
 from tablewarden.functions.runtime import ensure_checkpoint_dir, materialize, spread_out, together
 from tablewarden.functions.stats import clamp
+from tablewarden.operators.cleaning import label_codes
 from tablewarden.operators.governance import stability_score
 from tablewarden.operators.identifiers import classify_identifiers
 from tablewarden.operators.profile import duplicate_ratio, missingness
@@ -32,6 +33,7 @@ from tablewarden.operators.quantiles import medians
 from tablewarden.operators.values import distinct_estimates, distinct_summary
 
 MAX_CLASSES = 1000
+# Text levels that a stored index may hold; more are coded by a join, with the same codes.
 MAX_CODED_LEVELS = 10_000
 FOLDS = 3
 SEED = 42
@@ -86,7 +88,8 @@ def row_part(df: DataFrame, row_key: str | None, parts: int, salt: int = 0) -> C
 
 def _coded(df: DataFrame, features: list[str], fill: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """Add one double column per feature: numbers with gaps filled, times as seconds, text as
-    the code of its sorted value (hashed above 10,000 levels)."""
+    the code of its sorted value. Above 10,000 levels or so the codes are joined instead of kept
+    in a model; a level that many rows hold is split by the adaptive join of the session."""
     texts = [c for c in features if is_text(df, c)]
     _, estimates = distinct_estimates(df, texts) if texts else (0, {})
     indexed = [c for c in texts if estimates[c][1] <= MAX_CODED_LEVELS]
@@ -108,8 +111,12 @@ def _coded(df: DataFrame, features: list[str], fill: dict[str, float]) -> tuple[
         if c in indexed:
             continue
         if c in texts:
-            value = F.pmod(F.xxhash64(F.coalesce(col(c), F.lit("nan"))), F.lit(MAX_CODED_LEVELS)).cast("double")
-        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            df = df.withColumn(f"_text_{i}", F.coalesce(col(c), F.lit("nan")))
+            codes = label_codes(df, f"_text_{i}")
+            codes = codes.select(F.col("level").alias(f"_text_{i}"), F.col("code").cast("double").alias(names[i]))
+            df = df.join(codes, f"_text_{i}", "left").drop(f"_text_{i}")
+            continue
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             value = F.coalesce(F.unix_micros(col(c).cast("timestamp")) / 1e6, F.lit(0.0))
         elif isinstance(kind, T.BooleanType):
             value = F.coalesce(col(c).cast("double"), F.lit(0.0))

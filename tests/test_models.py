@@ -95,6 +95,30 @@ def test_planted_feature_ranks_first(spark, planted):
     assert report["driver"]["category"] in ("STRONG_PREDICTOR", "CONFIRMED_LEAKAGE")
 
 
+def test_text_codes_are_exact_at_any_number_of_levels(spark):
+    """12,500 levels and a missing one: codes follow the sorted values, none shared, hot level and all."""
+    df = spark.range(25_000).selectExpr(
+        "case when id % 5 = 0 then 'hot' when id % 1000 = 1 then null else concat('v', lpad(hex(id * 7919 % 12511), 5, '0')) end as t",
+        "cast(id as double) as x",
+    )
+    ready = models.assemble(df, "x", ["t"], problem="regression")
+    levels = sorted({r["t"] or "nan" for r in df.collect()})
+    assert len(levels) > models.MAX_CODED_LEVELS * 1.2
+    code = {v: float(i) for i, v in enumerate(levels)}
+    expected = {r["x"]: code[r["t"] or "nan"] for r in df.collect()}
+    found = {r["label"]: r["features"][0] for r in ready.data.select("features", "label").collect()}
+    assert found == expected
+
+
+def test_text_codes_do_not_depend_on_how_they_are_made(planted, monkeypatch):
+    text = planted.select(F.concat(F.lit("k"), F.floor(F.col("driver")).cast("string")).alias("t"), "y")
+    first = models.assemble(text, "y", ["t"], problem="regression").data
+    monkeypatch.setattr(models, "MAX_CODED_LEVELS", 0)
+    second = models.assemble(text, "y", ["t"], problem="regression").data
+    rows = [sorted((r["label"], r["features"][0]) for r in part.select("features", "label").collect()) for part in (first, second)]
+    assert rows[0] == rows[1]
+
+
 def test_segments(planted):
     rows = shap.segmented_shap(planted.drop("c"), "y").collect()
     for cluster in {r["cluster"] for r in rows}:
