@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -169,6 +173,73 @@ def shap_values(spark, sf_dir):
     )
 
 
+@query("shap_adds_up", "select count(*) as row_count, true as adds_up from orders where o_totalprice is not null")
+def shap_adds_up(spark, sf_dir):
+    """SHAP values and the expected value add up to the prediction, for trees of 12 levels too."""
+    df = planted(spark, sf_dir).drop("o_orderpriority")
+    explained, _, base = shap.shap_values(df, "o_totalprice", "regression", depth=12, trees=5)
+    total = F.aggregate("shap", F.lit(base), lambda a, v: a + v)
+    near = F.abs(total - F.col("prediction")) <= 1e-6 * (1 + F.abs("prediction"))
+    return explained.agg(F.count("*").alias("row_count"), F.every(near).alias("adds_up"))
+
+
+# Nodes of a tree with one feature twice on a path: (feature, cut, left, right) or a leaf's value.
+TREE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+TREE = [(0, 24.0, 1, 2), (1, 0.05, 3, 4), (0, 40.0, 5, 6), 10.0, 30.0, 50.0, (2, 0.04, 7, 8), 90.0, 60.0]
+
+
+def _reached(node: int = 0, conditions: tuple = ()) -> dict[int, str]:
+    """Condition under which a row reaches each node."""
+    found = {node: " and ".join(conditions) or "true"}
+    if isinstance(TREE[node], tuple):
+        f, cut, left, right = TREE[node]
+        found |= _reached(left, (*conditions, f"{TREE_FEATURES[f]} <= {cut}"))
+        found |= _reached(right, (*conditions, f"{TREE_FEATURES[f]} > {cut}"))
+    return found
+
+
+def _worth(known: frozenset, node: int = 0) -> str:
+    """The tree's mean as SQL when only the ``known`` features of the row are given."""
+    if not isinstance(TREE[node], tuple):
+        return f"{TREE[node]}e0"
+    f, cut, left, right = TREE[node]
+    a, b = _worth(known, left), _worth(known, right)
+    if f in known:
+        return f"(case when {TREE_FEATURES[f]} <= {cut} then {a} else {b} end)"
+    return f"((c{left} * {a} + c{right} * {b}) / c{node}::double)"
+
+
+def _subset_sql(i: int) -> str:
+    n = len(TREE_FEATURES)
+    rest = [k for k in range(n) if k != i]
+    parts = [
+        f"{math.factorial(r) * math.factorial(n - r - 1)} / {math.factorial(n)}e0 * ({_worth(frozenset({*s, i}))} - {_worth(frozenset(s))})"
+        for r in range(n) for s in itertools.combinations(rest, r)
+    ]
+    return f"round({' + '.join(parts)}, 6) + 0e0 as {TREE_FEATURES[i]}_shap"
+
+
+@query(
+    "shap_tree",
+    f"""with covers as (select {', '.join(f"count(*) filter (where {w}) as c{k}" for k, w in sorted(_reached().items()))} from lineitem)
+    select l_orderkey, l_linenumber, {', '.join(_subset_sql(i) for i in range(len(TREE_FEATURES)))} from lineitem, covers""",
+)
+def shap_tree(spark, sf_dir):
+    """SHAP values of a given tree over all rows; the SQL goes through all sets of known features."""
+    rows = table(spark, sf_dir, "lineitem")
+    counted = rows.agg(*[F.count_if(F.expr(w)).alias(f"c{k}") for k, w in _reached().items()]).first()
+    nodes = [n if isinstance(n, tuple) else (0, 0.0, k, k) for k, n in enumerate(TREE)]
+    tree = models.Tree(
+        *[np.array(part) for part in zip(*nodes)], np.array([[0.0 if isinstance(n, tuple) else n] for n in TREE]),
+        np.array([float(counted[f"c{k}"]) for k in range(len(TREE))]), 3,
+    )
+    found = shap.explain(F.array(*[F.col(c).cast("double") for c in TREE_FEATURES]), [tree])
+    return rows.select("l_orderkey", "l_linenumber", found.alias("shap")).select(
+        "l_orderkey", "l_linenumber",
+        *[(F.round(F.get("shap", F.lit(i)), 6) + 0.0).alias(f"{c}_shap") for i, c in enumerate(TREE_FEATURES)],
+    )
+
+
 @query("segmented_shap")
 def segmented_shap(spark, sf_dir):
     return shap.segmented_shap(planted(spark, sf_dir), "o_totalprice")

@@ -37,6 +37,8 @@ MAX_CLASSES = 1000
 MAX_CODED_LEVELS = 10_000
 FOLDS = 3
 SEED = 42
+# Depth of forests unless a caller gives another.
+DEPTH = 5
 BASELINE_ERROR = "Insufficient data for baseline"
 
 
@@ -160,7 +162,7 @@ def assemble(
     return Assembled(spread_out(stored), features, problem, classes)
 
 
-def forest(problem: str, trees: int, depth: int = 5):
+def forest(problem: str, trees: int, depth: int = DEPTH):
     kind = RandomForestClassifier if problem == "classification" else RandomForestRegressor
     return kind(numTrees=trees, maxDepth=depth, seed=SEED, featuresCol="features", labelCol="label")
 
@@ -237,10 +239,11 @@ def baseline_metrics(df: DataFrame, target: str, row_key: str | None = None) ->
     )
 
 
-def feature_importance(df: DataFrame, target: str, k: int | None = None) -> DataFrame:
-    """``feature, importance``: the forest importances over all rows, largest first; the ``k`` largest if given."""
+def feature_importance(df: DataFrame, target: str, k: int | None = None, depth: int = DEPTH) -> DataFrame:
+    """``feature, importance``: the importances in a forest of trees of ``depth`` over all rows, largest first; the
+    ``k`` largest if given."""
     ready = assemble(df, target, max_classes=10, fill_median=True)
-    model = forest(ready.problem, 50, 5).fit(ready.data)
+    model = forest(ready.problem, 50, depth).fit(ready.data)
     ranked = sorted(zip(ready.features, model.featureImportances.toArray().tolist()), key=lambda f: (-f[1], f[0]))
     return df.sparkSession.createDataFrame(ranked[:k], "feature string, importance double")
 
@@ -252,13 +255,13 @@ def model_features(df: DataFrame, target: str) -> list[str]:
     return numeric_columns(df, ids | {target})
 
 
-def train_baseline(df: DataFrame, target: str, problem: str | None = None, trees: int = 100):
-    """Forest on the numeric features that are no identifiers: model, input, train-set score."""
+def train_baseline(df: DataFrame, target: str, problem: str | None = None, trees: int = 100, depth: int = DEPTH):
+    """Forest of trees of ``depth`` on the numeric features that are no identifiers: model, input, train-set score."""
     features = model_features(df, target)
     if not features:
         raise NoUsableFeatures("no usable features")
     ready = assemble(df, target, features, problem)
-    model = forest(ready.problem, trees).fit(ready.data)
+    model = forest(ready.problem, trees, depth).fit(ready.data)
     score = class_scores if ready.problem == "classification" else value_scores
     row = score(model.transform(ready.data), []).first()
     return model, ready, row["accuracy" if ready.problem == "classification" else "r2"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,70 +15,144 @@ from pyspark.sql import functions as F
 from tablewarden.functions.columns import col, normalize_missing, numeric_columns
 from tablewarden.functions.runtime import materialize, spread_out, together
 from tablewarden.operators.models import (
+    DEPTH,
     SEED,
-    Leaves,
+    Tree,
     assemble,
     forest,
-    inside_boxes,
-    leaf_boxes,
     problem_type,
     tree_arrays,
 )
 
 TREES = 50
-ROWS_PER_STEP = 1000
+# Numbers held per tree and step.
+CELLS = 4_000_000
+# Stands for the share of a side that no training row took.
+LEAST_SHARE = 1e-12
 TOO_SMALL = "Dataset too small for segmented SHAP analysis."
 SEGMENT_SCHEMA = "cluster string, feature string, importance double, rank int"
 
 
-def pattern_table(leaves: Leaves, which: int) -> np.ndarray:
-    """Shapley value of each slot of each leaf for every pattern of met conditions.
+@dataclass
+class Paths:
+    """A tree as seen from its edges, one per node below the root.
 
-    With z the share of rows a slot lets through and o whether the row meets it, a leaf of
-    value v gives slot i: v (o_i − z_i) Σ_s w(s) e_s, where e_s is the coefficient of t^s in
-    Π_{k≠i} (z_k + o_k t) and w(s) = s! (D−s−1)! / D!. Unused slots have z = o = 1 and change
-    nothing. Rows then only look their pattern up.
+    ``share`` is the share of training rows that all edges of the same feature let through down to the
+    node, ``earlier`` the node of the last such edge above it (-1: none), ``levels`` the nodes by depth.
     """
-    count, depth = leaves.share.shape
-    bits = (np.arange(2**depth)[:, None] >> np.arange(depth)) & 1
-    weights = [math.factorial(s) * math.factorial(depth - s - 1) / math.factorial(depth) for s in range(depth)]
-    table = np.zeros((count, 2**depth, depth))
-    z = leaves.share[:, None, :]
-    o = bits[None, :, :].astype("float64")
-    for i in range(depth):
-        poly = [np.ones((count, 2**depth))]
-        for k in range(depth):
-            if k == i:
+
+    feature: np.ndarray
+    cut: np.ndarray
+    goes_left: np.ndarray
+    parent: np.ndarray
+    earlier: np.ndarray
+    share: np.ndarray
+    levels: list[np.ndarray]
+
+
+def tree_paths(tree: Tree) -> Paths:
+    n = len(tree.left)
+    paths = Paths(
+        np.zeros(n, dtype="int64"), np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n, dtype="int64"),
+        np.full(n, -1, dtype="int64"), np.ones(n), [],
+    )
+    level = [(0, {})]
+    while level:
+        paths.levels.append(np.array([node for node, _ in level]))
+        below = []
+        for node, last in level:
+            if tree.left[node] == node:
                 continue
-            shifted = [np.zeros_like(poly[0]), *[p * o[:, :, k] for p in poly]]
-            kept = [*[p * z[:, :, k] for p in poly], np.zeros_like(poly[0])]
-            poly = [a + b for a, b in zip(kept, shifted)]
-        mixed = sum(w * p for w, p in zip(weights, poly))
-        table[:, :, i] = leaves.value[:, None, which] * (o[:, :, i] - z[:, :, i]) * mixed
-    return table * leaves.used[:, None, :]
+            f = int(tree.feature[node])
+            for child in (int(tree.left[node]), int(tree.right[node])):
+                paths.feature[child], paths.cut[child], paths.parent[child] = f, tree.threshold[node], node
+                paths.goes_left[child] = child == tree.left[node]
+                paths.earlier[child] = last.get(f, -1)
+                before = paths.share[last[f]] if f in last else 1.0
+                part = tree.cover[child] / tree.cover[node] if tree.cover[node] else 0.0
+                paths.share[child] = max(before * part, LEAST_SHARE)
+                below.append((child, {**last, f: child}))
+        level = below
+    return paths
+
+
+def tree_shap(tree: Tree, paths: Paths, rows: np.ndarray, which: int) -> np.ndarray:
+    """Path-dependent SHAP values of one tree, ``rows x features``, for trees of any depth.
+
+    With z the share of rows that the edges of a feature let through and o whether the row passes them, a
+    leaf of value v gives feature i: v (o_i - z_i) times the integral over t from 0 to 1 of
+    the product over its other features of ((1 - t) z + t o), since s! (D-s-1)! / D! is the integral of t^s (1-t)^(D-1-s).
+    Gauss-Legendre nodes, half as many as the tree is deep, make it exact. The products run down the tree once; on the way
+    up each edge divides its own factor out of the sum below it, and the factor of an earlier edge of its
+    feature, whose share of the leaves below it replaces. Work per row: nodes x depth / 2.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(max(1, (len(paths.levels)) // 2))
+    t, weights = (nodes + 1) / 2, weights / 2
+    met = np.ones((len(rows), len(tree.left)), dtype=bool)
+    product = np.ones((len(rows), len(tree.left), len(t)))
+
+    def factor(which_nodes: np.ndarray) -> np.ndarray:
+        return (1 - t) * paths.share[which_nodes][:, None] + t * met[:, which_nodes, None]
+
+    for level in paths.levels[1:]:
+        earlier, again = paths.earlier[level], paths.earlier[level] >= 0
+        passes = (rows[:, paths.feature[level]] <= paths.cut[level]) == paths.goes_left[level]
+        passes[:, again] &= met[:, earlier[again]]
+        met[:, level] = passes
+        product[:, level] = product[:, paths.parent[level]] * factor(level)
+        product[:, level[again]] /= factor(earlier[again])
+    leaf = tree.left == np.arange(len(tree.left))
+    product *= np.where(leaf, tree.value[:, which], 0.0)[:, None]
+    for level in reversed(paths.levels[:-1]):
+        inner = level[~leaf[level]]
+        product[:, inner] = product[:, tree.left[inner]] + product[:, tree.right[inner]]
 
+    found = np.zeros((rows.shape[1], len(rows)))
+    edges = np.arange(1, len(tree.left))
+    again = edges[paths.earlier[edges] >= 0]
+    for below, edge, sign in ((edges, edges, 1.0), (again, paths.earlier[again], -1.0)):
+        parts = (met[:, edge] - paths.share[edge]) * ((product[:, below] / factor(edge)) @ weights)
+        np.add.at(found, paths.feature[below], sign * parts.T)
+    return found.T
 
-def expected_value(boxes: list[Leaves], which: int) -> float:
+
+def expected_value(trees: list[Tree], which: int) -> float:
     """Mean prediction of the forest over its training rows."""
-    return float(np.mean([(b.value[:, which] * b.share.prod(axis=1)).sum() for b in boxes]))
+    leaves = [t.left == np.arange(len(t.left)) for t in trees]
+    return float(np.mean([np.average(t.value[k, which], weights=t.cover[k]) for t, k in zip(trees, leaves)]))
+
 
+def explain(features: Column, trees: list[Tree], which: int = 0) -> Column:
+    """SHAP values, in feature order, of an array of doubles under the mean of ``trees``, in Arrow batches.
 
-def shap_rows(boxes: list[Leaves], tables: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    values = np.zeros((len(rows), rows.shape[1]))
-    for b, table in zip(boxes, tables):
-        depth = b.feature.shape[1]
-        pattern = (inside_boxes(b, rows) << np.arange(depth)).sum(axis=2)
-        parts = table[np.arange(len(b.feature))[None, :], pattern].reshape(len(rows), -1)
-        to_feature = np.zeros((b.feature.size, rows.shape[1]))
-        to_feature[np.arange(b.feature.size), b.feature.ravel()] = 1.0
-        values += parts @ to_feature
-    return values / len(boxes)
+    The trees travel with the tasks: trees x 2^(depth+1) nodes at most. Rows are taken in parts of
+    ``CELLS`` numbers per tree, so memory does not grow with the depth.
+    """
+    paths = [tree_paths(t) for t in trees]
+
+    @F.pandas_udf("array<double>")
+    def values(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return pd.Series([], dtype=object)
+        rows = np.stack(batch.to_list())
+        total = np.zeros(rows.shape)
+        for tree, path in zip(trees, paths):
+            step = max(1, CELLS // (len(tree.left) * len(path.levels)))
+            for start in range(0, len(rows), step):
+                part = slice(start, start + step)
+                total[part] += tree_shap(tree, path, rows[part], which)
+        return pd.Series(list(total / len(trees)))
 
+    return values(features)
 
-def shap_values(df: DataFrame, target: str, problem: str | None = None) -> tuple[DataFrame, list[str], float]:
-    """SHAP values of a forest of 50 trees for every complete row.
 
-    Returns ``features, label, prediction, shap`` (an array in feature order) as a lazy frame,
+def shap_values(
+    df: DataFrame, target: str, problem: str | None = None, depth: int = DEPTH, trees: int = TREES
+) -> tuple[DataFrame, list[str], float]:
+    """SHAP values of a forest for every complete row.
+
+    ``depth`` is the depth of its trees, up to the 30 levels of Spark's forests; deeper trees have up to
+    twice the nodes per level. Returns ``features, label, prediction, shap`` (an array in feature order) as a lazy frame,
     the feature names and the expected value. Class targets explain class index 1.
     """
     df = normalize_missing(df).where(col(target).isNotNull())
@@ -86,26 +160,15 @@ def shap_values(df: DataFrame, target: str, problem: str | None = None) -> tuple
     problem = problem or problem_type(df, target)
     ready = assemble(df.dropna(subset=names), target, names, problem)
     is_class = problem == "classification"
-    model = forest(problem, TREES).fit(ready.data)
-    spark = df.sparkSession
-    boxes = [leaf_boxes(t) for t in tree_arrays(model, spark, is_class)]
-    which = min(1, boxes[0].value.shape[1] - 1) if is_class else 0
-    tables = [pattern_table(b, which) for b in boxes]
-
-    @F.pandas_udf("array<double>")
-    def explain(features: pd.Series) -> pd.Series:
-        parts = []
-        rows = np.stack(features.to_list())
-        for start in range(0, len(rows), ROWS_PER_STEP):
-            parts += list(shap_rows(boxes, tables, rows[start : start + ROWS_PER_STEP]))
-        return pd.Series(parts)
-
+    model = forest(problem, trees, depth).fit(ready.data)
+    grown = tree_arrays(model, df.sparkSession, is_class)
+    which = min(1, grown[0].value.shape[1] - 1) if is_class else 0
     explained = model.transform(ready.data).select(
         vector_to_array("features").alias("features"), "label", "prediction",
         *([vector_to_array("probability").alias("probability")] if is_class else []),
-        explain(vector_to_array("features")).alias("shap"),
+        explain(vector_to_array("features"), grown, which).alias("shap"),
     )
-    return explained, names, expected_value(boxes, which)
+    return explained, names, expected_value(grown, which)
 
 
 def choose_k(vectors: DataFrame, max_k: int = 4) -> int:
@@ -155,14 +218,14 @@ def segment_shares(assigned: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def segmented_shap(df: DataFrame, target: str, problem: str | None = None) -> DataFrame:
-    """Segments of rows the forest explains alike, with each segment's feature shares."""
+def segmented_shap(df: DataFrame, target: str, problem: str | None = None, depth: int = DEPTH) -> DataFrame:
+    """Segments of rows the forest explains alike, with each segment's feature shares; ``depth`` as in ``shap_values``."""
     df = normalize_missing(df).where(col(target).isNotNull())
     names = numeric_columns(df, [target])
     complete = df.dropna(subset=names) if names else df
     if len(names) < 2 or len(complete.take(20)) < 20:
         return df.sparkSession.createDataFrame([], SEGMENT_SCHEMA)
-    explained, names, _ = shap_values(df, target, problem)
+    explained, names, _ = shap_values(df, target, problem, depth)
     vectors = spread_out(materialize(explained.select("shap", array_to_vector("shap").alias("vector"))))
     model = _clusters(choose_k(vectors)).fit(vectors)
     return segment_shares(model.transform(vectors), names)

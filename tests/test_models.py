@@ -36,26 +36,75 @@ def test_shap_adds_up_for_classes(planted):
     assert explained.select(F.max(F.abs(total - F.get("probability", F.lit(1))))).first()[0] < 1e-6
 
 
-def test_pattern_table_is_the_shapley_value():
-    leaves = models.Leaves(
-        np.array([[0, 1, 2]]), np.full((1, 3), -np.inf), np.zeros((1, 3)), np.array([[0.3, 0.6, 0.5]]),
-        np.ones((1, 3), dtype=bool), np.array([[2.0]]),
+def subset_values(tree, row, features):
+    """SHAP values by their definition: every set of known features, a walk over both sides where one is unknown."""
+
+    def worth(known, node=0):
+        if tree.left[node] == node:
+            return tree.value[node, 0]
+        f, sides = tree.feature[node], (tree.left[node], tree.right[node])
+        if f in known:
+            return worth(known, sides[0 if row[f] <= tree.threshold[node] else 1])
+        return sum(tree.cover[s] / tree.cover[node] * worth(known, s) for s in sides)
+
+    found = []
+    for i in range(features):
+        rest = [k for k in range(features) if k != i]
+        found.append(sum(
+            math.factorial(len(s)) * math.factorial(features - len(s) - 1) / math.factorial(features)
+            * (worth({*s, i}) - worth(set(s)))
+            for r in range(features) for s in itertools.combinations(rest, r)
+        ))
+    return found
+
+
+def grown_tree(rng, features, splits):
+    """A random tree whose features repeat along its paths."""
+    feature, threshold, left, right, value, cover = ([0], [0.0], [0], [0], [rng.normal()], [1000.0])
+    for _ in range(splits):
+        node = rng.choice([i for i in range(len(left)) if left[i] == i])
+        share = rng.uniform(0.05, 0.95)
+        feature[node], threshold[node] = int(rng.integers(features)), rng.normal()
+        left[node], right[node] = len(left), len(left) + 1
+        for part in (share, 1 - share):
+            feature.append(0)
+            threshold.append(0.0)
+            left.append(len(left))
+            right.append(len(right))
+            value.append(rng.normal())
+            cover.append(cover[node] * part)
+    depth = [0] * len(left)
+    for i in range(len(left)):
+        if left[i] != i:
+            depth[left[i]] = depth[right[i]] = depth[i] + 1
+    return models.Tree(
+        np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value)[:, None],
+        np.array(cover), max(depth),
     )
-    table = shap.pattern_table(leaves, 0)
-    z = [0.3, 0.6, 0.5]
-    for pattern in range(8):
-        o = [(pattern >> d) & 1 for d in range(3)]
-
-        def worth(members):
-            return 2.0 * math.prod(o[k] if k in members else z[k] for k in range(3))
-
-        for i in range(3):
-            rest = [k for k in range(3) if k != i]
-            value = sum(
-                math.factorial(len(s)) * math.factorial(2 - len(s)) / 6 * (worth({*s, i}) - worth(set(s)))
-                for r in range(3) for s in itertools.combinations(rest, r)
-            )
-            assert table[0, pattern, i] == pytest.approx(value)
+
+
+@pytest.mark.parametrize("splits", [0, 1, 2, 5, 12, 40])
+def test_tree_values_equal_subset_enumeration(splits):
+    rng = np.random.default_rng(splits)
+    tree = grown_tree(rng, 4, splits)
+    rows = rng.normal(size=(25, 4))
+    found = shap.tree_shap(tree, shap.tree_paths(tree), rows, 0)
+    assert np.allclose(found, [subset_values(tree, row, 4) for row in rows], atol=1e-10)
+
+
+def test_deep_tree_values_add_up():
+    rng = np.random.default_rng(3)
+    tree = grown_tree(rng, 30, 400)
+    rows = rng.normal(size=(50, 30))
+    found = shap.tree_shap(tree, shap.tree_paths(tree), rows, 0)
+    assert tree.levels > 12
+    assert np.allclose(found.sum(axis=1) + shap.expected_value([tree], 0), models.predict_rows([tree], rows)[:, 0], atol=1e-9)
+
+
+def test_depth_is_a_parameter(planted):
+    explained, _, base = shap.shap_values(planted.drop("c"), "y", depth=11, trees=4)
+    total = F.aggregate("shap", F.lit(base), lambda a, v: a + v)
+    assert explained.select(F.max(F.abs(total - F.col("prediction")))).first()[0] < 1e-6
 
 
 def test_tree_arrays_predict_like_the_model(spark, planted):
