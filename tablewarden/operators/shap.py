@@ -25,8 +25,8 @@ from tablewarden.operators.models import (
 )
 
 TREES = 50
-# Numbers held per tree and step.
-CELLS = 4_000_000
+# Products held per tree and step.
+CELLS = 200_000
 # Stands for the share of a side that no training row took.
 LEAST_SHARE = 1e-12
 TOO_SMALL = "Dataset too small for segmented SHAP analysis."
@@ -35,85 +35,96 @@ SEGMENT_SCHEMA = "cluster string, feature string, importance double, rank int"
 
 @dataclass
 class Paths:
-    """A tree as seen from its edges, one per node below the root.
+    """A tree as seen from its edges, one per node below the root, the nodes in order of depth.
 
     ``share`` is the share of training rows that all edges of the same feature let through down to the
-    node, ``earlier`` the node of the last such edge above it (-1: none), ``levels`` the nodes by depth.
+    node, ``earlier`` the last such edge above it (-1: none), ``levels`` the first node of each depth, ``t`` and
+    ``weights`` the nodes of the integral. Children of the inner nodes of a level follow each other in the next one.
     """
 
     feature: np.ndarray
     cut: np.ndarray
     goes_left: np.ndarray
-    parent: np.ndarray
     earlier: np.ndarray
     share: np.ndarray
-    levels: list[np.ndarray]
+    inner: np.ndarray
+    value: np.ndarray
+    levels: np.ndarray
+    t: np.ndarray
+    weights: np.ndarray
 
 
 def tree_paths(tree: Tree) -> Paths:
-    n = len(tree.left)
-    paths = Paths(
-        np.zeros(n, dtype="int64"), np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n, dtype="int64"),
-        np.full(n, -1, dtype="int64"), np.ones(n), [],
-    )
+    order, edges, starts = [0], [(0, 0.0, False, -1, 1.0)], [0]
     level = [(0, {})]
     while level:
-        paths.levels.append(np.array([node for node, _ in level]))
+        starts.append(len(order))
         below = []
         for node, last in level:
             if tree.left[node] == node:
                 continue
             f = int(tree.feature[node])
             for child in (int(tree.left[node]), int(tree.right[node])):
-                paths.feature[child], paths.cut[child], paths.parent[child] = f, tree.threshold[node], node
-                paths.goes_left[child] = child == tree.left[node]
-                paths.earlier[child] = last.get(f, -1)
-                before = paths.share[last[f]] if f in last else 1.0
+                earlier = last.get(f, -1)
                 part = tree.cover[child] / tree.cover[node] if tree.cover[node] else 0.0
-                paths.share[child] = max(before * part, LEAST_SHARE)
-                below.append((child, {**last, f: child}))
+                share = max((edges[earlier][4] if f in last else 1.0) * part, LEAST_SHARE)
+                below.append((child, {**last, f: len(order)}))
+                order.append(child)
+                edges.append((f, tree.threshold[node], child == tree.left[node], earlier, share))
         level = below
-    return paths
+    inner = tree.left[order] != np.array(order)
+    t, weights = np.polynomial.legendre.leggauss(max(1, (len(starts) - 1) // 2))
+    return Paths(
+        *[np.array(part) for part in zip(*edges)], inner, np.where(inner[:, None], 0.0, tree.value[order]),
+        np.array(starts), (t + 1) / 2, weights / 2,
+    )
 
 
-def tree_shap(tree: Tree, paths: Paths, rows: np.ndarray, which: int) -> np.ndarray:
-    """Path-dependent SHAP values of one tree, ``rows x features``, for trees of any depth.
+def tree_shap(paths: Paths, columns: np.ndarray, which: int) -> np.ndarray:
+    """Path-dependent SHAP values of one tree, ``features x rows`` as the input, for trees of any depth.
 
     With z the share of rows that the edges of a feature let through and o whether the row passes them, a
-    leaf of value v gives feature i: v (o_i - z_i) times the integral over t from 0 to 1 of
-    the product over its other features of ((1 - t) z + t o), since s! (D-s-1)! / D! is the integral of t^s (1-t)^(D-1-s).
-    Gauss-Legendre nodes, half as many as the tree is deep, make it exact. The products run down the tree once; on the way
-    up each edge divides its own factor out of the sum below it, and the factor of an earlier edge of its
-    feature, whose share of the leaves below it replaces. Work per row: nodes x depth / 2.
+    leaf of value v gives feature i: v (o_i - z_i) times the integral over t from 0 to 1 of the product over its
+    other features of ((1 - t) z + t o), since s! (D-s-1)! / D! is the integral of t^s (1-t)^(D-1-s).
+    Gauss-Legendre nodes, half as many as the tree is deep, make it exact. The products run down the tree
+    once; on the way up each edge divides its own factor out of the sum below it, and likewise the factor of an earlier
+    edge of its feature, which it replaces for the leaves below. Work per row: nodes x depth / 2.
     """
-    nodes, weights = np.polynomial.legendre.leggauss(max(1, (len(paths.levels)) // 2))
-    t, weights = (nodes + 1) / 2, weights / 2
-    met = np.ones((len(rows), len(tree.left)), dtype=bool)
-    product = np.ones((len(rows), len(tree.left), len(t)))
-
-    def factor(which_nodes: np.ndarray) -> np.ndarray:
-        return (1 - t) * paths.share[which_nodes][:, None] + t * met[:, which_nodes, None]
-
-    for level in paths.levels[1:]:
-        earlier, again = paths.earlier[level], paths.earlier[level] >= 0
-        passes = (rows[:, paths.feature[level]] <= paths.cut[level]) == paths.goes_left[level]
-        passes[:, again] &= met[:, earlier[again]]
-        met[:, level] = passes
-        product[:, level] = product[:, paths.parent[level]] * factor(level)
-        product[:, level[again]] /= factor(earlier[again])
-    leaf = tree.left == np.arange(len(tree.left))
-    product *= np.where(leaf, tree.value[:, which], 0.0)[:, None]
-    for level in reversed(paths.levels[:-1]):
-        inner = level[~leaf[level]]
-        product[:, inner] = product[:, tree.left[inner]] + product[:, tree.right[inner]]
-
-    found = np.zeros((rows.shape[1], len(rows)))
-    edges = np.arange(1, len(tree.left))
-    again = edges[paths.earlier[edges] >= 0]
-    for below, edge, sign in ((edges, edges, 1.0), (again, paths.earlier[again], -1.0)):
-        parts = (met[:, edge] - paths.share[edge]) * ((product[:, below] / factor(edge)) @ weights)
-        np.add.at(found, paths.feature[below], sign * parts.T)
-    return found.T
+    p, rows = paths, columns.shape[1]
+    missed = (1 - p.t) * p.share[:, None]
+    passed = missed + p.t
+    met = (columns[p.feature] <= p.cut[:, None]) == p.goes_left[:, None]
+    product = np.empty((len(p.feature), len(p.t), rows))
+    product[0] = 1.0
+    for top, start, end in zip(p.levels, p.levels[1:], p.levels[2:]):
+        again = start + np.flatnonzero(p.earlier[start:end] >= 0)
+        met[again] &= met[p.earlier[again]]
+        above = product[top:start][p.inner[top:start]]
+        part = product[start:end]
+        part[:] = np.where(met[start:end, None], passed[start:end, :, None], missed[start:end, :, None])
+        part.reshape(len(above), 2, len(p.t), rows)[:] *= above[:, None]
+        e = p.earlier[again]
+        product[again] *= np.where(met[e, None], 1 / passed[e, :, None], 1 / missed[e, :, None])
+    product *= np.where(p.inner, 1.0, p.value[:, which])[:, None, None]
+    for top, start, end in reversed(list(zip(p.levels, p.levels[1:], p.levels[2:]))):
+        inner = top + np.flatnonzero(p.inner[top:start])
+        product[inner] = product[start:end].reshape(len(inner), 2, len(p.t), rows).sum(axis=1)
+
+    edges = np.arange(1, len(p.feature))
+    again = edges[p.earlier[edges] >= 0]
+    found = np.zeros(columns.shape)
+    for below, edge, sign in ((edges, edges, 1.0), (again, p.earlier[again], -1.0)):
+        if not len(below):
+            continue
+        by_feature = np.argsort(p.feature[below], kind="stable")
+        below, edge = below[by_feature], edge[by_feature]
+        share = p.share[edge][:, None]
+        given = np.stack([p.weights * (1 - share) / passed[edge], -p.weights * share / missed[edge]], axis=1)
+        sums = np.matmul(given, product[below])
+        parts = np.where(met[edge], sums[:, 0], sums[:, 1])
+        features, starts = np.unique(p.feature[below], return_index=True)
+        found[features] += sign * np.add.reduceat(parts, starts, axis=0)
+    return found
 
 
 def expected_value(trees: list[Tree], which: int) -> float:
@@ -125,8 +136,8 @@ def expected_value(trees: list[Tree], which: int) -> float:
 def explain(features: Column, trees: list[Tree], which: int = 0) -> Column:
     """SHAP values, in feature order, of an array of doubles under the mean of ``trees``, in Arrow batches.
 
-    The trees travel with the tasks: trees x 2^(depth+1) nodes at most. Rows are taken in parts of
-    ``CELLS`` numbers per tree, so memory does not grow with the depth.
+    The trees travel with the tasks: trees x 2^(depth+1) nodes at most. Rows are taken in parts of about
+    ``CELLS`` products per tree.
     """
     paths = [tree_paths(t) for t in trees]
 
@@ -134,14 +145,14 @@ def explain(features: Column, trees: list[Tree], which: int = 0) -> Column:
     def values(batch: pd.Series) -> pd.Series:
         if not len(batch):
             return pd.Series([], dtype=object)
-        rows = np.stack(batch.to_list())
-        total = np.zeros(rows.shape)
-        for tree, path in zip(trees, paths):
-            step = max(1, CELLS // (len(tree.left) * len(path.levels)))
-            for start in range(0, len(rows), step):
+        columns = np.ascontiguousarray(np.stack(batch.to_list()).T)
+        total = np.zeros(columns.shape)
+        for path in paths:
+            step = max(16, CELLS // (len(path.feature) * len(path.t)))
+            for start in range(0, columns.shape[1], step):
                 part = slice(start, start + step)
-                total[part] += tree_shap(tree, path, rows[part], which)
-        return pd.Series(list(total / len(trees)))
+                total[:, part] += tree_shap(path, columns[:, part], which)
+        return pd.Series(list(total.T / len(paths)))
 
     return values(features)
 

@@ -88,7 +88,7 @@ def test_tree_values_equal_subset_enumeration(splits):
     rng = np.random.default_rng(splits)
     tree = grown_tree(rng, 4, splits)
     rows = rng.normal(size=(25, 4))
-    found = shap.tree_shap(tree, shap.tree_paths(tree), rows, 0)
+    found = shap.tree_shap(shap.tree_paths(tree), rows.T, 0).T
     assert np.allclose(found, [subset_values(tree, row, 4) for row in rows], atol=1e-10)
 
 
@@ -96,7 +96,7 @@ def test_deep_tree_values_add_up():
     rng = np.random.default_rng(3)
     tree = grown_tree(rng, 30, 400)
     rows = rng.normal(size=(50, 30))
-    found = shap.tree_shap(tree, shap.tree_paths(tree), rows, 0)
+    found = shap.tree_shap(shap.tree_paths(tree), rows.T, 0).T
     assert tree.levels > 12
     assert np.allclose(found.sum(axis=1) + shap.expected_value([tree], 0), models.predict_rows([tree], rows)[:, 0], atol=1e-9)
 
