@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -18,6 +20,7 @@ from catalog.sqltext import (
     union_all,
     with_input,
 )
+from tablewarden.functions.runtime import ensure_checkpoint_dir
 from tablewarden.operators import eda, identifiers, profile
 from tablewarden.operators.values import distinct_summary, sample_values
 from tablewarden.sources.reader import load_dataset
@@ -41,6 +44,22 @@ def scan_parquet(spark, sf_dir):
     )
 
 
+@query(
+    "scan_json",
+    "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
+)
+def scan_json(spark, sf_dir):
+    """All documents, written as one JSON array over many lines and read back from it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    last = rows.agg(F.max("doc_id")).first()[0]
+    ends = F.when(F.col("doc_id") == last, "\n]").otherwise(",")
+    body = rows.orderBy("doc_id").select(F.concat(F.to_json(F.struct("*"), {"pretty": "true"}), ends).alias("value"))
+    path = f"{ensure_checkpoint_dir(spark)}/array-{uuid.uuid4().hex}.json"
+    spark.range(1).select(F.lit("[").alias("value")).unionAll(body).coalesce(1).write.text(path)
+    back = load_dataset(spark, path, schema="doc_id long, lang string, source string, n_chars long, text string")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 @query(
     "drop_columns",
     "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",

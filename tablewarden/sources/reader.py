@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.functions.columns import normalize_missing
+from tablewarden.sources.json_documents import read_documents
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -23,15 +24,15 @@ def load_dataset(
     """Read CSV (with header), JSON or Parquet, with NaN read as missing.
 
     CSV and JSON types are inferred, which costs a pass over the files; give ``schema`` for
-    large inputs. A JSON document may span lines; ``format="jsonl"`` reads one per line,
-    which splits large files.
+    large inputs. A JSON document may span lines and be of any size (``read_documents``); ``format="jsonl"``
+    reads one record per line without the pass that cuts documents.
     """
     kind = (format or format_of(path)).lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "csv":
         df = reader.csv(path, header=True, inferSchema=schema is None)
     elif kind == "json":
-        df = reader.json(path, multiLine=True)
+        df = read_documents(spark, path, schema)
     elif kind == "jsonl":
         df = reader.json(path)
     elif kind == "parquet":
