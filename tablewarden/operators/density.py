@@ -27,9 +27,14 @@ WIDE_FACTOR = 4
 # Levels of the box tree at most; values carry nine decimals, so deeper cells hold one row.
 MOST_LEVELS = 60
 # Row pairs of a pair of boxes, on average, at which rows are compared.
-PAIR_WORK = 4096
+PAIR_WORK = 1 << 28
 # Rows of a cell that are held against others at a time.
 LIST_ROWS = 512
+# Sides of the boxes that compared rows lie in, as a part (a power of two) of their cell's: of up to CELL_COLUMNS columns, and of more.
+LIST_PARTS = (8, 2)
+# Rows that are compared in one group, at least and at most; between, each core gets GROUPS_PER_CORE groups.
+GROUP_ROWS = (512, 16_384)
+GROUPS_PER_CORE = 8
 
 
 def noise_1d(points: DataFrame, limits: DataFrame, eps: float) -> DataFrame:
@@ -167,7 +172,8 @@ def rows_near(points: DataFrame, queries: DataFrame, eps: float, needed: int, co
         if not pairs or work <= pairs * PAIR_WORK:
             break
         active = straddling.select(F.col("q").alias("q_active"), F.col("p").alias("p_active"))
-        side /= factor
+        # Halves near the end, so that boxes do not become far smaller than rows can be compared in.
+        side /= factor if work > pairs * PAIR_WORK * 4 ** len(names) else 2
         cell = _cell(names, low, side)
         open_rows = open_rows.select(*names, "sure", F.col("q").alias("q_up"), cell.alias("q"))
         held = held.select(*names, "weight", F.col("p").alias("p_up"), cell.alias("p"))
@@ -176,9 +182,8 @@ def rows_near(points: DataFrame, queries: DataFrame, eps: float, needed: int, co
     found = reduce(DataFrame.unionByName, enough)
     if not pairs:
         return found
-    weight = _compared(open_rows, held, straddling.select("q", "p"), names, eps)
-    rest = open_rows.select(*names, "sure").join(weight, names)
-    return found.unionByName(rest.where(F.col("sure") + F.col("weight") >= needed).select(*names))
+    part = side / LIST_PARTS[len(names) > CELL_COLUMNS]
+    return found.unionByName(_compared(open_rows, held, straddling.select("q", "p"), names, _cell(names, low, part), eps, needed))
 
 
 def _cell(names: list[str], low: dict[str, float], side: float) -> Column:
@@ -203,33 +208,92 @@ def _square(names: list[str], far: bool) -> Column:
     return total
 
 
-def _compared(open_rows: DataFrame, held: DataFrame, pairs: DataFrame, names: list[str], eps: float) -> DataFrame:
-    """Weight within ``eps`` of each open row among the rows of the point cells that its cell is paired with."""
+def _compared(
+    open_rows: DataFrame, held: DataFrame, pairs: DataFrame, names: list[str], part: Column, eps: float, needed: int
+) -> DataFrame:
+    """The open rows that reach ``needed`` with the rows of the point cells that their cell is paired with.
 
-    def packed(rows: DataFrame, key: str, mark: str, more: list[str]) -> DataFrame:
-        """Rows of a cell in lists of bounded length."""
-        size = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("lists"))
-        cut = rows.join(size, key).withColumn("list", F.pmod(F.xxhash64(*names), F.col("lists")))
-        return cut.groupBy(key, "list").agg(F.collect_list(F.array(*names, *[F.col(m).cast("double") for m in more])).alias(mark)).drop("list")
-
-    both = pairs.join(packed(open_rows, "q", "asked", []), "q").join(packed(held, "p", "near", ["weight"]), "p").select("asked", "near")
+    A group is a bounded share of the rows of a cell. It meets the points of the paired cells as a stream of lists, each of one small
+    box (``part``); boxes and rows whose distance to the list's box is clear are not compared, nor rows that have enough already.
+    """
+    cores = open_rows.sparkSession.sparkContext.defaultParallelism
+    least, most = GROUP_ROWS
+    size = min(most, max(least, open_rows.count() // (GROUPS_PER_CORE * cores)))
+
+    def packed(rows: DataFrame, key: str, more: str) -> DataFrame:
+        """Rows of a part in flat lists of bounded length."""
+        rows = rows.select(key, part.alias("part"), *names, F.col(more).cast("double").alias(more))
+        lists = rows.groupBy(key, "part").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).alias("lists"))
+        cut = rows.join(lists, [key, "part"]).withColumn("list", F.pmod(F.xxhash64(*names), F.col("lists")))
+        return cut.groupBy(key, "part", "list").agg(F.flatten(F.collect_list(F.array(*names, more))).alias("data"))
+
+    groups = open_rows.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / size).alias("groups"))
+    group = F.concat_ws(",", F.col("q").cast("array<string>"), F.col("group").cast("string")).alias("group")
+    asked = packed(open_rows, "q", "sure").join(groups, "q").withColumn("group", F.pmod(F.xxhash64("part", "list"), F.col("groups")))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("group")
+    near = pairs.join(groups.select("q", each), "q").join(packed(held, "p", "weight"), "p")
+    both = asked.select(group, F.lit(0).alias("turn"), "data").unionByName(near.select(group, F.lit(1).alias("turn"), "data"))
+    both = both.repartition(GROUPS_PER_CORE * cores, "group").sortWithinPartitions("group", "turn")
     limit, width = eps * eps, len(names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squared(gaps: list[np.ndarray]) -> np.ndarray:
+        total = 0.0
+        for gap in gaps:
+            total = total + gap * gap
+        return total
+
+    class Group:
+        """Rows of a group, their boxes and the weight found for them."""
+
+        def __init__(self) -> None:
+            self.lists: list[np.ndarray] = []
+            self.rows = None
+
+        def close_in(self) -> None:
+            self.rows = np.concatenate(self.lists)
+            self.low, self.high = (np.array([f(x[:, :width], axis=0) for x in self.lists]) for f in (np.min, np.max))
+            self.box = np.repeat(np.arange(len(self.lists)), [len(x) for x in self.lists])
+            self.columns = [np.ascontiguousarray(self.rows[:, d]) for d in range(width)]
+            self.weight = self.rows[:, width].copy()
+
+        def meet(self, points: np.ndarray) -> None:
+            if self.rows is None:
+                self.close_in()
+            low, high, weight = points[:, :width].min(axis=0), points[:, :width].max(axis=0), points[:, width]
+            apart = [np.maximum(np.maximum(self.low[:, d] - high[d], low[d] - self.high[:, d]), 0.0) for d in range(width)]
+            at = np.flatnonzero((squared(apart) <= limit)[self.box] & (self.weight < needed))
+            if not len(at):
+                return
+            ends = [(self.columns[d][at] - high[d], low[d] - self.columns[d][at]) for d in range(width)]
+            inside = squared([np.maximum(np.abs(a), np.abs(b)) for a, b in ends]) <= limit
+            self.weight[at[inside]] += weight.sum()
+            at = at[~inside & (squared([np.maximum(np.maximum(a, b), 0.0) for a, b in ends]) <= limit)]
+            single = (weight == 1).all()
+            for start in range(0, len(at), LIST_ROWS):
+                some = at[start : start + LIST_ROWS]
+                met = squared([self.columns[d][some, None] - points[None, :, d] for d in range(width)]) <= limit
+                self.weight[some] += np.count_nonzero(met, axis=1) if single else met @ weight
+
+        def enough(self) -> Iterator[pa.RecordBatch]:
+            if self.rows is not None and len(hit := np.flatnonzero(self.weight >= needed)):
+                yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in self.columns], names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held_group = None, Group()
         for batch in batches:
-            for i in range(batch.num_rows):
-                q, p = (batch.column(k)[i].values.flatten().to_numpy().reshape(-1, width + k) for k in (0, 1))
-                square = np.zeros((len(q), len(p)))
-                for d in range(width):
-                    gap = q[:, d, None] - p[None, :, d]
-                    square += gap * gap
-                total = (square <= limit) @ p[:, width]
-                hit = total > 0
-                columns = [pa.array(q[hit, d]) for d in range(width)] + [pa.array(total[hit].astype("int64"))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "weight"])
-
-    schema = ", ".join(f"`{c}` double" for c in names) + ", weight bigint"
-    return both.mapInArrow(count, schema).groupBy(*names).agg(F.sum("weight").alias("weight"))
+            turns, data = batch["turn"].to_numpy(), batch["data"]
+            for i, name in enumerate(batch["group"].to_pylist()):
+                if name != last:
+                    yield from held_group.enough()
+                    last, held_group = name, Group()
+                rows = data[i].values.to_numpy().reshape(-1, width + 1)
+                if turns[i]:
+                    held_group.meet(rows)
+                else:
+                    held_group.lists.append(rows)
+        yield from held_group.enough()
+
+    return both.mapInArrow(compare, ", ".join(f"`{c}` double" for c in names))
 
 
 def standardised(value: Column, mean: float, spread: float) -> Column:

@@ -51,6 +51,19 @@ def test_compared_rows_follow_the_border(spark, monkeypatch):
     assert max(shares) < 0.01
 
 
+def test_pairs_of_boxes_stay_few_when_cells_are_full(spark, monkeypatch):
+    # Cells of up to thousands of rows are compared in their small boxes, by many groups, and not cut into cells of a row each.
+    monkeypatch.setattr(density, "GROUP_ROWS", (16, 64))
+    seen = []
+    real = density.materialize
+    monkeypatch.setattr(density, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    z = blobs(6, 2_000, 3)
+    df = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b", "c"]))
+    found = {tuple(r) for r in density.noise_nd(df, 40, 0.4).collect()}
+    assert found == {tuple(r) for r in z[brute_noise(z, 0.4, 40)]}
+    assert max(s.count() for s in seen if "within" in s.columns) < len(z)
+
+
 def test_nd_of_no_rows_and_of_one_value(spark):
     none = spark.createDataFrame([], "a double, b double")
     assert density.noise_nd(none, 5, 1.0).count() == 0
