@@ -188,7 +188,8 @@ s as (select l_partkey, round(raw, 2) as raw_score, round(100 / (1 + exp(-0.06e0
 
 
 def _scored(spark, sf_dir):
-    per_part = fx.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(*[F.expr(e) for e in SIGNALS[1:]])
+    share = F.round(fx.exact_mean("l_discount") * 20, 4).cast("double").alias("share")
+    per_part = fx.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(share, *[F.expr(e) for e in SIGNALS[2:]])
     return leakage.score_signals(per_part.selectExpr(*SIGNAL_LIST))
 
 
