@@ -257,6 +257,8 @@ def _compared(
             self.weight = self.rows[:, width].copy()
 
         def meet(self, points: np.ndarray) -> None:
+            if not self.lists:  # no list of the cell fell into this group
+                return
             if self.rows is None:
                 self.close_in()
             low, high, weight = points[:, :width].min(axis=0), points[:, :width].max(axis=0), points[:, width]
