@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns
 from tablewarden.functions.rows import with_partners
-from tablewarden.functions.runtime import materialize, together
+from tablewarden.functions.runtime import heavy_tasks, materialize, together
 from tablewarden.operators.models import (
     SEED,
     Assembled,
@@ -41,7 +41,8 @@ IMPACT_SCHEMA = (
 def split_rows(ready: Assembled) -> tuple[DataFrame, DataFrame]:
     """80 % / 20 % by a draw per row, stored in random order of rows, so that equal rows fall on both sides."""
     slot = F.floor(F.rand(SEED) * 10)
-    mixed = materialize(ready.data.select("features", "label", slot.alias("slot")).repartition("slot", F.rand(SEED)))
+    tasks = heavy_tasks(ready.data.sparkSession, ready.data.count())
+    mixed = materialize(ready.data.select("features", "label", slot.alias("slot")).repartition(tasks, "slot", F.rand(SEED)))
     return mixed.where("slot >= 2").drop("slot"), mixed.where("slot < 2").drop("slot")
 
 
