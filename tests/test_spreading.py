@@ -1,8 +1,11 @@
 from pyspark.sql import functions as F
 
+from catalog import profile_queries
+from catalog.base import table
 from tablewarden.functions import runtime
 from tablewarden.functions.rows import with_partners
 from tablewarden.operators import leakage, models
+from tests.conftest import SMALL
 
 
 def in_one_partition(spark, rows):
@@ -39,3 +42,14 @@ def test_numbers_of_few_values_are_informative_by_value(spark):
     df = spark.range(4_000).select(((F.col("id") % 40)).cast("double").alias("x"), ((F.col("id") % 2) * 1000 + F.col("id") / 4000).alias("y"))
     found = leakage.numeric_information(df, "y").first()["mutual_information"]
     assert found > 0.69
+
+
+def test_json_arrays_grow_in_number_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(profile_queries, "ARRAY_BYTES", 50_000)
+    paths = []
+    real = profile_queries.load_dataset
+    monkeypatch.setattr(profile_queries, "load_dataset", lambda s, path, **more: paths.append(path) or real(s, path, **more))
+    found = profile_queries.scan_json(spark, SMALL)
+    assert found.count() == table(spark, SMALL, "documents").count()
+    files = spark.read.text(paths[0]).select(F.input_file_name()).distinct().count()
+    assert files > 4
