@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.columns import col
-from tablewarden.functions.runtime import materialize
+from tablewarden.functions.runtime import heavy_tasks, materialize, spread_out
 
 ROUNDS = 8
 # Bits of a generated row id that count the rows of a partition.
@@ -21,7 +21,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     the number of rows. The rows are stored once, so that numbers stay if a task is run again;
     the driver receives one count per partition."""
     own = F.struct(*[col(c) for c in df.columns]).alias("own")
-    stored = materialize(df.select(F.monotonically_increasing_id().alias("at"), own))
+    stored = spread_out(materialize(df.select(own))).select(F.monotonically_increasing_id().alias("at"), "own")
     part = F.shiftright("at", PARTITION_BITS)
     counts = sorted((r["part"], r["n"]) for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0
@@ -67,8 +67,10 @@ def reordered(rows: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def with_partners(df: DataFrame, repeats: int, seed: int) -> DataFrame:
     """``row, own, repeat, partner``: every row ``repeats`` times, each time beside another row of
-    the whole table. Within a repeat each row is partner once. An empty table gives no rows."""
+    the whole table. Within a repeat each row is partner once. An empty table gives no rows. The number
+    of join partitions grows with the rows, so that what a task holds does not."""
     rows, total = numbered(df)
+    tasks = heavy_tasks(df.sparkSession, total * repeats)
 
     @F.pandas_udf(T.LongType())
     def place(row: pd.Series, repeat: pd.Series) -> pd.Series:
@@ -80,4 +82,5 @@ def with_partners(df: DataFrame, repeats: int, seed: int) -> DataFrame:
 
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     sent = rows.select("row", F.col("own").alias("partner"), repeat)
-    return rows.join(sent.select(place("row", "repeat").alias("row"), "repeat", "partner"), "row")
+    sent = sent.select(place("row", "repeat").alias("row"), "repeat", "partner")
+    return rows.repartition(tasks, "row").join(sent.repartition(tasks, "row"), "row")
