@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import as_double, col, normalize_missing, numeric_columns, present
-from tablewarden.functions.runtime import materialize, together
+from tablewarden.functions.runtime import materialize, spread_out, together
 from tablewarden.operators.density import noise_1d, noise_nd, standardised
 from tablewarden.operators.forest import fit_forest, row_score, value_score
 from tablewarden.operators.quantiles import medians
@@ -161,7 +161,7 @@ def flag_outliers(
         return _with_driver(_with_votes(votes, min_votes), [], {})
     s, scored = together(lambda: spreads(df, names), lambda: density_noise(df, names))
     if use_forest:
-        scored = materialize(forest_scores(scored, names, row_key))
+        scored = materialize(forest_scores(spread_out(materialize(scored)), names, row_key))
         scored = min_max(scored, "isolation_forest", "_iso")
     else:
         scored = scored.withColumn("isolation_forest", F.lit(0.0)).withColumn("_iso", F.lit(0.0))
