@@ -68,6 +68,11 @@ def decile_sql(c: str) -> str:
     return "(" + " + ".join(f"cast({c} >= (select quantile_cont({c}, {i / 10}) from t) as int)" for i in range(1, 10)) + ")"
 
 
+def value_or_decile_sql(c: str) -> str:
+    values = f"cast({c} as varchar)"
+    return f"case when (select count(distinct {c}) from t) <= 100 then {values} else cast({decile_sql(c)} as varchar) end"
+
+
 MI_COLUMNS = ["l_extendedprice", "l_extendedprice * 2 as leak", "l_quantity", "l_returnflag", "l_suppkey * 1.5e0 as wide"]
 
 
@@ -79,9 +84,9 @@ MI_COLUMNS = ["l_extendedprice", "l_extendedprice * 2 as leak", "l_quantity", "l
             f"({mi_sql(c, x, decile_sql('l_extendedprice'))})"
             for c, x in (
                 ("leak", decile_sql("leak")),
-                ("l_quantity", decile_sql("l_quantity")),
+                ("l_quantity", "cast(l_quantity as varchar)"),
                 ("l_returnflag", "l_returnflag"),
-                ("wide", decile_sql("wide")),
+                ("wide", value_or_decile_sql("wide")),
             )
         ),
     ),

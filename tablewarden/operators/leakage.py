@@ -17,8 +17,11 @@ from tablewarden.functions.runtime import materialize, together
 from tablewarden.functions.stats import n_log_n, pair_correlation, ratio
 from tablewarden.operators.profile import one_row_per_column
 from tablewarden.operators.quantiles import exact_quantiles
+from tablewarden.operators.values import distinct_estimates
 
 MIN_PAIRS = 30
+# Values of a number up to which its information is that of its values, and of its deciles beyond.
+MAX_LEVELS = 100
 BINS = 10
 # Categories by rising priority.
 CATEGORIES = ["NORMAL_FEATURE", "STRONG_PREDICTOR", "HIGH_RISK_PROXY", "CONFIRMED_LEAKAGE"]
@@ -75,6 +78,14 @@ def binned_features(df: DataFrame, names: list[str]) -> dict[str, Column]:
     }
 
 
+def few_valued(df: DataFrame, names: list[str]) -> list[str]:
+    """Columns of at most ``MAX_LEVELS`` values, counted exactly where the sketch does not rule it out."""
+    _, estimates = distinct_estimates(df, names) if names else (0, {})
+    near = [c for c in names if estimates[c][1] <= 2 * MAX_LEVELS]
+    found = df.agg(*[F.count_distinct(col(c)).alias(c) for c in near]).first() if near else {}
+    return [c for c in near if found[c] <= MAX_LEVELS]
+
+
 def value_and_decile(df: DataFrame, names: list[str]) -> dict[str, Column]:
     """Every feature by its values, and numbers by their deciles too (named with a mark)."""
     binned = binned_features(df, [c for c in names if is_numeric(df, c)])
@@ -136,11 +147,14 @@ def class_information(df: DataFrame, target: str) -> DataFrame:
 
 
 def numeric_information(df: DataFrame, target: str) -> DataFrame:
-    """Mutual information of the deciles of numbers and the values of other features with the deciles of a numeric target."""
+    """Mutual information of feature values with the deciles of a numeric target; numbers of more than 100 values count by deciles."""
     df = normalize_missing(df)
-    x, edges = together(
-        lambda: binned_features(df, features_of(df, target)), lambda: _inner_deciles(df, [target])
+    names = features_of(df, target)
+    x, edges, few = together(
+        lambda: binned_features(df, names), lambda: _inner_deciles(df, [target]),
+        lambda: few_valued(df, [c for c in names if is_numeric(df, c)]),
     )
+    x |= {c: col(c).cast("string") for c in few}
     y = decile_bin(as_double(target), edges.get(target, []))
     return mutual_information(contingency(df, target, x, y))
 
