@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.columns import col
-from tablewarden.functions.runtime import heavy_tasks, materialize, spread_out
+from tablewarden.functions.runtime import heavy_tasks, stored_evenly
 
 ROUNDS = 8
 # Bits of a generated row id that count the rows of a partition.
@@ -21,7 +21,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, int]:
     the number of rows. The rows are stored once, so that numbers stay if a task is run again;
     the driver receives one count per partition."""
     own = F.struct(*[col(c) for c in df.columns]).alias("own")
-    stored = spread_out(materialize(df.select(own))).select(F.monotonically_increasing_id().alias("at"), "own")
+    stored = stored_evenly(df.select(own), df).select(F.monotonically_increasing_id().alias("at"), "own")
     part = F.shiftright("at", PARTITION_BITS)
     counts = sorted((r["part"], r["n"]) for r in stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before, total = [], 0

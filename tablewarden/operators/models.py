@@ -23,7 +23,7 @@ from tablewarden.functions.columns import (
     numeric_columns,
     plain_columns,
 )
-from tablewarden.functions.runtime import ensure_checkpoint_dir, materialize, spread_out, together
+from tablewarden.functions.runtime import ensure_checkpoint_dir, stored_evenly, together
 from tablewarden.functions.stats import clamp
 from tablewarden.operators.cleaning import label_codes
 from tablewarden.operators.governance import stability_score
@@ -158,8 +158,7 @@ def assemble(
     else:
         label = as_double(target)
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(coded.withColumn("label", label))
-    stored = materialize(ready.select("features", "label", "fold"))
-    return Assembled(spread_out(stored), features, problem, classes)
+    return Assembled(stored_evenly(ready.select("features", "label", "fold"), df), features, problem, classes)
 
 
 def forest(problem: str, trees: int, depth: int = DEPTH):

@@ -53,3 +53,12 @@ def test_json_arrays_grow_in_number_with_the_table(spark, monkeypatch):
     assert found.count() == table(spark, SMALL, "documents").count()
     files = spark.read.text(paths[0]).select(F.input_file_name()).distinct().count()
     assert files > 4
+
+
+def test_rows_are_dealt_out_before_they_are_stored(spark, monkeypatch):
+    written = []
+    real = runtime.materialize
+    monkeypatch.setattr(runtime, "materialize", lambda df: written.append(real(df)) or written[-1])
+    stored = models.assemble(in_one_partition(spark, 8_000), "y", problem="regression").data
+    assert stored.count() == 8_000 and len(written) == 1
+    assert max(held(written[0])) <= 2 * 8_000 / spark.sparkContext.defaultParallelism
