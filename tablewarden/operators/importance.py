@@ -15,7 +15,9 @@ from tablewarden.functions.runtime import heavy_tasks, materialize, together
 from tablewarden.operators.models import (
     SEED,
     Assembled,
+    alike,
     class_scores,
+    cut_points,
     forest,
     inside_boxes,
     leaf_boxes,
@@ -31,6 +33,8 @@ from tablewarden.operators.values import distinct_estimates
 TREES = 50
 REPEATS = 5
 GRID = 100
+# Different rows that a task of partial dependence gathers before it looks at boxes.
+HELD_ROWS = 50_000
 TOO_SMALL = "Dataset too small or lacks numeric features for causal analysis."
 IMPACT_SCHEMA = (
     "feature string, importance_score double, performance_impact double, marginal_effect_strength double,"
@@ -85,6 +89,7 @@ def permutation(ready: Assembled, model, test: DataFrame, repeats: int = REPEATS
     spark = test.sparkSession
     trees = tree_arrays(model, spark, is_class)
     width = len(ready.features)
+    cuts = cut_points(trees, width)
 
     def losses(batches):
         total = np.zeros(width + 1)
@@ -97,7 +102,8 @@ def permutation(ready: Assembled, model, test: DataFrame, repeats: int = REPEATS
             y = batch["label"].to_numpy("float64")
 
             def loss(x):
-                p = predict_rows(trees, x)
+                first, kind = alike(cuts, x)
+                p = predict_rows(trees, x[first])[kind]
                 return float((p.argmax(axis=1) != y).sum()) if is_class else float(((p[:, 0] - y) ** 2).sum())
 
             n, sy, syy = n + len(y), sy + y.sum(), syy + (y * y).sum()
@@ -149,31 +155,51 @@ def _grids(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
     return grids
 
 
+def _kinds(batches, cuts: list[np.ndarray]):
+    """``rows, times``: the rows of all batches, those of a kind (``alike``) once as far as a task can hold them together."""
+
+    def merged(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, kind = alike(cuts, rows)
+        return rows[first], np.bincount(kind, times)
+
+    rows, times = np.empty((0, len(cuts))), np.empty(0)
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = np.stack(batch["features"].to_list())
+        rows, times = merged(np.concatenate([rows, new]), np.concatenate([times, np.ones(len(new))]))
+        if len(rows) > HELD_ROWS:
+            yield rows, times
+            rows, times = rows[:0], times[:0]
+    if len(rows):
+        yield rows, times
+
+
 def partial_dependence(ready: Assembled, model, grids: dict[str, list[float]]) -> dict[str, tuple[list, list]]:
     """Average prediction over all rows with a feature set to each grid value.
 
     A leaf counts for a grid value by the rows that meet its other conditions, so one pass
-    that counts rows per leaf and left-out feature serves every grid. Class targets use the
-    first class, binary ones the second.
+    that counts rows per leaf and left-out feature serves every grid. Rows that no split tells
+    apart are looked at once, with their number. Class targets use the first class, binary ones the second.
     """
     is_class = ready.problem == "classification"
     spark = ready.data.sparkSession
-    boxes = [leaf_boxes(t) for t in tree_arrays(model, spark, is_class)]
+    trees = tree_arrays(model, spark, is_class)
+    boxes, cuts = [leaf_boxes(t) for t in trees], cut_points(trees, len(ready.features))
 
     def counts(batches):
         totals = [np.zeros((len(b.feature), b.feature.shape[1] + 1)) for b in boxes]
         n = 0
-        for batch in batches:
-            values = np.stack(batch["features"].to_list())
+        for values, times in _kinds(batches, cuts):
             for start in range(0, len(values), 1000):
-                rows = values[start : start + 1000]
-                n += len(rows)
+                rows, many = values[start : start + 1000], times[start : start + 1000]
+                n += many.sum()
                 for t, b in enumerate(boxes):
                     ok = inside_boxes(b, rows)
                     misses = (~ok).sum(axis=2)
                     whole = misses == 0
-                    totals[t][:, -1] += whole.sum(axis=0)
-                    totals[t][:, :-1] += (whole[:, :, None] | ((misses == 1)[:, :, None] & ~ok)).sum(axis=0)
+                    totals[t][:, -1] += many @ whole
+                    totals[t][:, :-1] += np.tensordot(many, whole[:, :, None] | ((misses == 1)[:, :, None] & ~ok), 1)
         if n:
             for t, table in enumerate(totals):
                 leaf, slot = np.indices(table.shape)

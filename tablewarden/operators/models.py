@@ -327,6 +327,24 @@ def predict_rows(trees: list[Tree], rows: np.ndarray) -> np.ndarray:
     return total / len(trees)
 
 
+def cut_points(trees: list[Tree], width: int) -> list[np.ndarray]:
+    """The sorted thresholds of each of ``width`` features; Spark's forests have at most 31 per feature."""
+    inner = [t.left != np.arange(len(t.left)) for t in trees]
+    feature = np.concatenate([t.feature[k] for t, k in zip(trees, inner)])
+    cut = np.concatenate([t.threshold[k] for t, k in zip(trees, inner)])
+    return [np.unique(cut[feature == j]) for j in range(width)]
+
+
+def alike(cuts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of one row of every kind, and the kind of each row; rows of a kind lie on the same side of every cut."""
+    code, size = np.zeros(len(rows), "int64"), 1
+    for j, at in enumerate(cuts):
+        if size * (len(at) + 1) >= 1 << 62:
+            code, size = np.unique(code, return_inverse=True)[1], len(rows)
+        code, size = code * (len(at) + 1) + np.searchsorted(at, rows[:, j]), size * (len(at) + 1)
+    return np.unique(code, return_index=True, return_inverse=True)[1:]
+
+
 @dataclass
 class Leaves:
     """The leaves of one tree as boxes: per leaf up to ``depth`` features with an interval

@@ -215,3 +215,30 @@ def test_remediation_verdicts(spark):
     assert got["price"]["governance_explanation"] == (
         "Remediation validated. Accuracy improved by +5.00% and stability score changed by 0.0 points. Fix approved."
     )
+
+
+def test_rows_that_no_split_tells_apart_are_looked_at_once(spark, planted, monkeypatch):
+    ready = models.assemble(planted, "y", ["driver", "side", "noise"])
+    trees = models.tree_arrays(models.forest(ready.problem, 5).fit(ready.data), spark, False)
+    cuts = models.cut_points(trees, 3)
+    rows = np.random.default_rng(3).normal(size=(500, 3)).repeat(3, axis=0)
+    rows[::7, 1] = cuts[1][0]
+    first, kind = models.alike(cuts, rows)
+    assert len(first) <= 500 * 2
+    assert np.array_equal(models.predict_rows(trees, rows), models.predict_rows(trees, rows[first])[kind])
+    batches = [pd.DataFrame({"features": list(part)}) for part in np.array_split(rows, 4)] + [pd.DataFrame({"features": []})]
+    for held in (10, 10_000):
+        monkeypatch.setattr(importance, "HELD_ROWS", held)
+        found = list(importance._kinds(iter(batches), cuts))
+        assert sum(times.sum() for _, times in found) == len(rows)
+        mean = sum(times @ models.predict_rows(trees, kept)[:, 0] for kept, times in found) / len(rows)
+        assert mean == pytest.approx(models.predict_rows(trees, rows)[:, 0].mean())
+    assert len(found) == 1 and len(found[0][0]) == len(first)
+
+
+def test_many_cuts_do_not_overflow_the_code_of_a_kind():
+    rows = np.random.default_rng(4).normal(size=(300, 20))
+    cuts = [np.linspace(-2, 2, 31)] * 20
+    first, kind = models.alike(cuts, np.concatenate([rows, rows]))
+    sides = np.stack([np.searchsorted(cuts[0], rows[:, j]) for j in range(20)], axis=1)
+    assert len(first) == len(np.unique(sides, axis=0)) and np.array_equal(kind[:300], kind[300:])
