@@ -23,10 +23,12 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from tablewarden.llm import simhash
 from tablewarden.llm.common import removed, slices, stored, tasks
 
-#: Texts whose shingles are counted to put frequent ones last. The order only decides the cost, never the result.
+#: Texts whose shingles are counted to put frequent ones last: so many, and one in ``SAMPLE_EVERY`` of a larger table, so that a
+#: shingle of a given number of texts is known at any size. The order only decides the cost, never the result.
 SAMPLE_TEXTS = 4_000
+SAMPLE_EVERY = 5
 FREQUENT = 3
-MOST_FREQUENT = 100_000
+MOST_FREQUENT = 1_000_000
 #: Pairs of one text that are compared in one task.
 PAIRS_AT_ONCE = 1_000
 
@@ -79,13 +81,13 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words).view(np.int64), pa.int64())], ["token"])
 
-    every = max(1, texts.count() // SAMPLE_TEXTS)
+    every = min(SAMPLE_EVERY, max(1, texts.count() // SAMPLE_TEXTS))
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
     counted = sample.mapInArrow(emit, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
-    rows = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
-    tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
+    tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.array([r[1] for r in rows], np.int64)[order]
+    return tokens[order], rows.column("count").to_numpy()[order]
 
 
 def _prints(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -166,6 +168,14 @@ def _large_enough(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
 
+def _places_allow(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that share a shingle may be similar by its places: what stands before it in one set can only be met before it in
+    the other, and what stands after it only after it. All sets have one order, so this holds for every shared shingle."""
+    n, place = (lambda side: F.col(f"{side}n")), (lambda side: F.col(f"{side}place"))
+    most = F.least(place(a), place(b)) + 1 + F.least(n(a) - place(a) - 1, n(b) - place(b) - 1)
+    return most >= F.lit(similarity / (1 + similarity)) * (n(a) + n(b)) - 1e-6
+
+
 def _with_text(pairs: DataFrame, side: str, texts: DataFrame) -> DataFrame:
     """``pairs`` with the packed text of one side; a text of many pairs is spread over several keys."""
     counts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("salts"))
@@ -224,20 +234,26 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int) -
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
     """Distinct ``(a, b)`` of ``pairs (a, b, n_a, n_b, place_a, place_b)``, one row per shingle that is among the first of both, which may be
     similar by count: beyond these shared ones, a common shingle stands after the last of them in both sets, and after the first
-    shingles of one set."""
+    shingles of one set. A pair of which some row is ``apart``, if ``pairs`` has that column, is not similar."""
     rest = [F.ceil(F.lit(similarity) * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")]
-    one = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+    parted = [F.max("apart").alias("apart")] if "apart" in pairs.columns else [F.lit(False).alias("apart")]
+    one = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"), *parted)
     after = F.least(F.col("n_a") - F.col("last_a") - 1, F.col("n_b") - F.col("last_b") - 1)
     most = F.col("shared") + F.least(F.greatest(*rest), after)
-    return one.where(most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
+    return one.where(~F.col("apart") & (most >= F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6)).select("a", "b")
+
+
+def _stars(parts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that make the components ``parts``: every set and the least of its component."""
+    return parts.select(F.col("component").alias("a"), F.col("fp").alias("b")).where("a != b")
 
 
-def _more_leaders(met: DataFrame, tried: DataFrame, certain: DataFrame, parts: DataFrame, labels: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> tuple[DataFrame, ...]:
+def _more_leaders(met: DataFrame, tried: DataFrame, parts: DataFrame, labels: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> tuple[DataFrame, ...]:
     """Rounds in which the sets outside the main class of a shingle are held against another, random member of it.
 
     A large group of variants, of which each is near to some of the others only, becomes one class this way without its pairs.
-    Rounds only find links earlier: whatever they leave open is compared afterwards. Returns the verified pairs, the
-    links, the components, the rows of ``met`` with their class ``c``, and ``(token, main, kinds)``.
+    Rounds only find links earlier: whatever they leave open is compared afterwards. Returns the verified pairs,
+    the components, the rows of ``met`` with their class ``c``, and ``(token, main, kinds)``.
     """
     for turn in range(ROUNDS + 1):
         classed = met.join(parts.withColumnRenamed("fp", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
@@ -248,7 +264,7 @@ def _more_leaders(met: DataFrame, tried: DataFrame, certain: DataFrame, parts: D
             break
         known = classed.join(sized.where("mains > 1").select("token", "main"), "token")
         leads = known.where("c = main").groupBy("token").agg(F.min_by(F.struct("s", "n", "place"), F.xxhash64("s", F.lit(turn))).alias("l"))
-        pairs = known.where("c != main").join(leads, "token").where(_large_enough("n", "l.n", similarity))
+        pairs = known.where("c != main").join(leads, "token").where(_large_enough("n", "l.n", similarity) & _places_allow("", "l.", similarity))
         flip = F.col("s") < F.col("l.s")
         sides = [F.when(flip, F.col(c)).otherwise(F.col(f"l.{c}")).alias(f"{c}_a") for c in ("s", "n", "place")]
         sides += [F.when(flip, F.col(f"l.{c}")).otherwise(F.col(c)).alias(f"{c}_b") for c in ("s", "n", "place")]
@@ -257,9 +273,9 @@ def _more_leaders(met: DataFrame, tried: DataFrame, certain: DataFrame, parts: D
         links = new.where(F.col("j") >= similarity - 1e-9).select("a", "b")
         if links.isEmpty():
             break
-        tried, certain = stored(tried.unionByName(new)), certain.union(links)
-        parts = simhash.components(certain, labels)
-    return tried, certain, parts, classed, sized
+        tried = stored(tried.unionByName(new))
+        parts = stored(simhash.components(_stars(parts).union(links), labels))
+    return tried, parts, classed, sized
 
 
 def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n_pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +285,7 @@ def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n
     prints = stored(_prints(docs, words, similarity))
     met = stored(_meetings(prints))
     prints = prints.drop("first", "n")
-    stars = met.where(F.col("s") != F.col("leader")).where(_large_enough("n", "leader_n", similarity))
+    stars = met.where(F.col("s") != F.col("leader")).where(_large_enough("n", "leader_n", similarity) & _places_allow("", "leader_", similarity))
     named = {"leader": "a", "s": "b", "leader_n": "n_a", "n": "n_b", "leader_place": "place_a", "place": "place_b"}
     stars = _possible(stars.select(*[F.col(c).alias(to) for c, to in named.items()]), similarity)
     sets = stored(prints.select("fp", "s").distinct())
@@ -281,9 +297,8 @@ def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n
     first = verified(stored(stars.union(same).union(across).where("a != b").distinct()), docs, prints, words)
 
     labels = sets.select(F.col("s").alias("fp")).distinct().withColumn("label", F.col("fp"))
-    certain = first.where(near).select("a", "b")
-    parts = simhash.components(certain, labels)
-    first, certain, parts, classed, sized = _more_leaders(met, first, certain, parts, labels, docs, prints, words, similarity)
+    parts = stored(simhash.components(first.where(near).select("a", "b"), labels))
+    first, parts, classed, sized = _more_leaders(met, first, parts, labels, docs, prints, words, similarity)
     # What is left: pairs that meet in a shingle and lie in different classes so far.
     away = first.select(F.col("a").alias("leader"), F.col("b").alias("s"), (1 - F.col("j")).alias("d"))
     classed = classed.join(away, ["leader", "s"], "left").withColumn("d", F.when(F.col("s") == F.col("leader"), 0.0).otherwise(F.col("d")))
@@ -296,15 +311,15 @@ def classes(docs: DataFrame, words: int, similarity: float, max_distance: int, n
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.main")) | (F.col("x.s") < F.col("y.s")))
-        & _large_enough("x.n", "y.n", similarity),
+        & _large_enough("x.n", "y.n", similarity)
+        & _places_allow("x.", "y.", similarity),
     )
     apart = F.abs(F.col("x.d") - F.col("y.d")) > 1 - similarity + 1e-9
     first_is_x = F.col("x.s") < F.col("y.s")
     sides = [F.when(first_is_x, F.col(f"{l}.{c}")).otherwise(F.col(f"{r}.{c}")).alias(f"{c}_{side}") for side, l, r in (("a", "x", "y"), ("b", "y", "x")) for c in ("s", "n", "place")]
     pairs = pairs.select(*sides, F.coalesce(apart, F.lit(False)).alias("apart")).withColumnsRenamed({"s_a": "a", "s_b": "b"})
-    discarded = pairs.where("apart").select("a", "b").distinct()
-    pairs = stored(_possible(pairs, similarity).join(discarded, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"))
+    pairs = stored(_possible(pairs, similarity).join(first, ["a", "b"], "left_anti"))
     removed(mixed)
     if not pairs.isEmpty():
-        parts = simhash.components(certain.union(verified(pairs, docs, prints, words).where(near).select("a", "b")), labels)
+        parts = simhash.components(_stars(parts).union(verified(pairs, docs, prints, words).where(near).select("a", "b")), labels)
     return prints.drop("fp"), parts

@@ -1,6 +1,7 @@
 """SimHash classes and repeated byte strings against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -143,6 +144,40 @@ def test_keep_one_by_similarity_equals_brute_force(spark, docs, edge_docs, no_do
     check_similar(df)
 
 
+def test_frequent_shingles_are_known_in_large_tables(spark, monkeypatch):
+    from tablewarden.llm import jaccard
+
+    # 60 of 800 texts share a passage; a sample of a fixed number of texts would hardly meet it.
+    monkeypatch.setattr(jaccard, "SAMPLE_TEXTS", 4)
+    passage = " ".join(f"same{k}" for k in range(30))
+    texts = [(" ".join(f"own{i}x{k}" for k in range(20)) + (" " + passage if i < 60 else ""),) for i in range(800)]
+    tokens, counts = jaccard._frequent(spark.createDataFrame(texts, "text string"), 5)
+    assert set(jaccard.shingles(passage, 5).tolist()) == set(tokens.tolist()) and counts.min() >= jaccard.FREQUENT
+
+
+def test_places_refuse_no_similar_sets(spark):
+    from tablewarden.llm import jaccard
+
+    draw, rows, similar = random.Random(5), [], 0
+    for _ in range(300):
+        x = set(draw.sample(range(2_000), draw.randint(3, 60)))
+        y = set(draw.sample(sorted(x), max(1, len(x) - draw.randint(0, 8)))) | set(draw.sample(range(2_000), draw.randint(0, 6)))
+        near = len(x & y) >= 0.8 * len(x | y)
+        similar += near
+        rows += [(len(x), sorted(x).index(t), len(y), sorted(y).index(t), near) for t in x & y]
+    found = spark.createDataFrame(rows, "n long, place long, leader_n long, leader_place long, near boolean")
+    allowed = found.withColumn("allowed", jaccard._places_allow("", "leader_", 0.8))
+    assert similar > 50 and allowed.where("near and not allowed").isEmpty() and not allowed.where("not near and not allowed").isEmpty()
+
+
+def test_a_pair_that_one_row_sets_apart_is_not_possible(spark):
+    from tablewarden.llm import jaccard
+
+    rows = [(1, 2, 10, 10, 0, 0, False), (1, 2, 10, 10, 1, 1, True), (1, 3, 10, 10, 0, 0, False), (1, 3, 10, 10, 1, 1, False)]
+    pairs = spark.createDataFrame(rows, "a long, b long, n_a long, n_b long, place_a long, place_b long, apart boolean")
+    assert [tuple(r) for r in jaccard._possible(pairs, 0.8).collect()] == [(1, 3)]
+
+
 def plain_cut(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
