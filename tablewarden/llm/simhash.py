@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tablewarden.functions.runtime import materialize
-from tablewarden.llm.common import SPACE, joined_apart, slices, stored, without
+from tablewarden.llm.common import SPACE, joined_apart, may_hold, slices, stored, without
 
 BITS = 64
 #: Blocks that two linked fingerprints share for certain.
@@ -244,13 +244,18 @@ def keep_one(
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *KEYS)).alias("w")
     firsts = prints.groupBy("class").agg(first).join(parts.withColumnRenamed("fp", "class"), "class", "left")
     winners = firsts.groupBy(F.coalesce("component", "class").alias("group")).agg(F.min("w").alias("w")).select(*[f"w.`{k}`" for k in KEYS]).distinct()
-    return _chosen(docs, key, text_col, winners)
+    return _chosen(docs, key, text_col, prints, stored(winners))
 
 
-def _chosen(docs: DataFrame, key: list[Column], text_col: str, winners: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each of the ``winners``. A task hands on a repeated row once, and its text compressed."""
-    body = [F.col(f"`{text_col}`").cast("binary").alias("body")]
-    named = docs.select(*key, *body, F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"))
+def _chosen(docs: DataFrame, key: list[Column], text_col: str, prints: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of the ``winners``. Rows that surely win and stand once stay where they are; of the others, a task
+    hands on a repeated row once, and its text compressed."""
+    copies = prints.groupBy(*KEYS).count()
+    doubtful = stored(copies.join(winners.withColumn("wins", F.lit(True)), list(KEYS), "left").where("wins is null or count > 1").select(*KEYS))
+    row = F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    named = may_hold(docs.select(*key, F.col(f"`{text_col}`").cast("binary").alias("body"), row), doubtful, KEYS[0])
+    certain = named.where("not `may hold`").select("body", "row")
+    named = named.where("`may hold`").drop("may hold")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(), set()
@@ -270,7 +275,7 @@ def _chosen(docs: DataFrame, key: list[Column], text_col: str, winners: DataFram
     met = named.mapInArrow(emit, named.schema).join(winners, list(KEYS), "left_semi")
     same = Window.partitionBy(*KEYS).orderBy(KEYS[0])
     once = met.withColumn("copy no", F.row_number().over(same)).where(F.col("copy no") == 1).select("body", "row")
-    out = once.mapInArrow(back, once.schema)
+    out = certain.union(once.mapInArrow(back, once.schema))
     return out.select(*[F.col("body").cast("string").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -178,6 +178,39 @@ def test_a_pair_that_one_row_sets_apart_is_not_possible(spark):
     assert [tuple(r) for r in jaccard._possible(pairs, 0.8).collect()] == [(1, 3)]
 
 
+def test_shingles_of_the_same_sets_are_one_token(spark, monkeypatch):
+    from tablewarden.llm import jaccard
+
+    passage = " ".join(f"same{k}" for k in range(60))
+    texts = [(f"{i}", f"{passage} " + " ".join(f"own{i}x{k}" for k in range(30)), i, i) for i in range(40)]
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    prints = jaccard._prints(spark.createDataFrame(texts, "id string, text string, `key one` long, `key two` long"), 5, 0.3).cache()
+    met = jaccard._meetings(prints).cache()
+    alike = jaccard._alike(met).cache()
+    of = {r["s"]: (r["n"], r["first"]) for r in prints.collect()}
+    shared = Counter(x for _, first in of.values() for x in first)
+    assert met.count() == sum(c for c in shared.values() if c > 1) and alike.agg(F.sum("shared")).head()[0] == met.count()
+    # A shingle that many sets have is one row of each; only one that lies on the border of two ranges stands apart.
+    groups = {frozenset(s for s, (_, first) in of.items() if x in first) for x, c in shared.items() if c > 1}
+    least = alike.groupBy("token").agg(F.sort_array(F.collect_set("s")).alias("all")).select("all").distinct().collect()
+    assert {frozenset(r["all"]) for r in least} == groups and alike.count() <= met.count() / 4
+    for r in alike.collect():
+        first, ahead = of[r["s"]][1], of[r["leader"]][1]
+        assert first[r["start"]] == ahead[r["leader_start"]] and first[r["place"]] == ahead[r["leader_place"]]
+
+
+def test_marked_rows_are_all_that_a_join_needs(spark):
+    from tablewarden.llm.common import may_hold
+
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("k"), "id")
+    keys = rows.where("id % 500 = 0").select("k").union(spark.createDataFrame([(-1,), (None,)], "k long"))
+    got = may_hold(rows, keys, "k")
+    assert got.columns == ["k", "id", "may hold"] and got.count() == 100_000
+    marked = got.where("`may hold`")
+    assert marked.where("id % 500 = 0").count() == 200 and marked.count() < 250
+    assert may_hold(rows, keys.where("false"), "k").where("`may hold`").count() == 0
+
+
 def plain_cut(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
