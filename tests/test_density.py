@@ -64,6 +64,30 @@ def test_pairs_of_boxes_stay_few_when_cells_are_full(spark, monkeypatch):
     assert max(s.count() for s in seen if "within" in s.columns) < len(z)
 
 
+def test_few_rows_are_held_against_rows(spark, monkeypatch):
+    # Small boxes settle most rows, and boxes of half their side most others.
+    seen = []
+    monkeypatch.setattr(density, "MANY_ROWS", 0)
+    real = density._narrowed
+    monkeypatch.setattr(density, "_narrowed", lambda rows, *args: seen.append(rows.count()) or real(rows, *args))
+    z = np.round(np.random.default_rng(7).normal(size=(20_000, 3)), 9)
+    points = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b", "c"])).withColumn("weight", F.lit(1).cast("bigint"))
+    found = {tuple(r) for r in density.rows_near(points, points.drop("weight"), 0.5, 200).collect()}
+    near = np.array([((z - q) ** 2).sum(axis=1) <= 0.25 for q in z]).sum(axis=1) >= 200
+    assert found == {tuple(r) for r in z[near]}
+    assert len(seen) == 2 and seen[1] < 0.7 * seen[0] < 0.5 * len(z)
+
+
+def test_lists_chunks_and_blocks_of_few_rows(spark, monkeypatch):
+    for name, value in {"FEW_ROWS": 0, "MANY_ROWS": 0, "BOX_ROWS": 4, "LIST_ROWS": 5, "GROUP_ROWS": (16, 64), "CHUNK_ROWS": 64, "LIST_BLOCK": 4, "BLOCK": 64}.items():
+        monkeypatch.setattr(density, name, value)
+    z = blobs(8, 500, 3)
+    z = np.vstack([z, np.repeat(z[:40], 4, axis=0), [[2e3, 0.0, 0.0]]])
+    df = spark.createDataFrame(pd.DataFrame(z, columns=["a", "b", "c"]))
+    found = {tuple(r) for r in density.noise_nd(df, 15, 0.6).collect()}
+    assert found == {tuple(r) for r in z[brute_noise(z, 0.6, 15)]}
+
+
 def test_nd_of_no_rows_and_of_one_value(spark):
     none = spark.createDataFrame([], "a double, b double")
     assert density.noise_nd(none, 5, 1.0).count() == 0
